@@ -5,7 +5,7 @@ offset below p at which both lie at cover positions, so the anchor hashes of win
 cover positions only, find every pair. Three steps:
 
 1. Anchors go to buckets by their hash; those that occur twice mark their position.
-2. Windows around marked anchors are extended: their whole word sequence is hashed (128 bits) and goes to
+2. Windows around marked anchors are extended: their whole word sequence is hashed (96 bits) and goes to
    buckets, where all but the first occurrence by (doc_id, start) are repeats.
 3. Each document drops the words that repeats cover.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 WINDOW, PERIOD = 20, 13
 #: Text bytes for each bucket of hashes and of documents, and for each batch within a task.
-BUCKET_BYTES, BATCH_BYTES = 24 << 20, 8 << 20
+BUCKET_BYTES, BATCH_BYTES = 12 << 20, 8 << 20
 NO_ID = -(1 << 63)
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -65,13 +65,15 @@ class Batch:
     """Documents of a task's batch, their word hashes end to end."""
 
     def __init__(self, ids: list, keys: list, texts: list):
-        split = [(t or "").encode().split() for t in texts]
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.keys = np.array(keys, np.int64)
-        self.sizes = np.array([len(w) for w in split], np.int64)
+        digest, hashed = xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)]
+        for t in texts:
+            words = (t or "").encode().split()
+            hashed.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+        self.sizes = np.array([len(w) for w in hashed[1:]], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.int64)
-        digest = xxhash.xxh64_intdigest
-        self.words = np.fromiter((digest(x) for w in split for x in w), np.uint64, int(self.sizes.sum()))
+        self.words = np.concatenate(hashed)
 
     def positions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, start) of every window of this size."""
@@ -101,11 +103,20 @@ def _cut(order_by: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(int(v), slice(a, b)) for v, a, b in zip(values, first, ends, strict=True)]
 
 
-#: doc: the documents' (id, key) pairs; ref: each entry's document by number; at: its position; hash: 8 or 16 bytes each.
+#: doc: the documents' (id, key) pairs; ref: each entry's document by number; at: its position; hash: 4 or 12 bytes each.
 PACKED = "to string, bucket long, doc binary, ref binary, at binary, hash binary"
 NAMES = ["to", "bucket", "doc", "ref", "at", "hash"]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The low bytes of 32-bit numbers, then the next, to the high ones, which are mostly equal and shrink."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _packed(to: str, buckets: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray | None) -> list[tuple]:
     rows = []
     order, parts = _cut(buckets)
@@ -113,7 +124,7 @@ def _packed(to: str, buckets: np.ndarray, ids: np.ndarray, keys: np.ndarray, at:
         i = order[s]
         pair = np.stack([ids[i], keys[i]], axis=1)
         new = np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)]
-        rows.append((to, bucket, pair[new].tobytes(), (np.cumsum(new) - 1).astype(np.uint32).tobytes(), at[i].astype(np.uint32).tobytes(), hashes[i].tobytes() if hashes is not None else None))
+        rows.append((to, bucket, pair[new].tobytes(), _planes(np.cumsum(new) - 1), _planes(at[i]), hashes[i].tobytes() if hashes is not None else None))
     return rows
 
 
@@ -126,9 +137,9 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """(id, key, position, hash as rows of words) of all entries of these packed rows."""
     ids, keys, at, hashes = [], [], [], []
     for doc, ref, pos, h in zip(pdf["doc"], pdf["ref"], pdf["at"], pdf["hash"], strict=True):
-        r = np.frombuffer(ref, np.uint32)
+        r = _numbers(ref)
         d = np.frombuffer(doc, np.int64).reshape(-1, 2)[r]
-        ids.append(d[:, 0]), keys.append(d[:, 1]), at.append(np.frombuffer(pos, np.uint32).astype(np.int64))
+        ids.append(d[:, 0]), keys.append(d[:, 1]), at.append(_numbers(pos).astype(np.int64))
         if h is not None:
             hashes.append(np.frombuffer(h, np.uint8).reshape(len(r), -1))
     return np.concatenate(ids), np.concatenate(keys), np.concatenate(at), np.concatenate(hashes) if hashes else np.zeros((0, 0), np.uint8)
@@ -208,16 +219,18 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 d = doc[later]
                 out += _packed("mark", _doc_bucket(b.ids[d], b.keys[d], n), b.ids[d], b.keys[d], start[later], None) if later.any() else []
                 # all rows at a hash's first place go on: equal places of rows of one id stay or fall together
-                d, s, g = doc[~later], start[~later], h[~later]
-                out += _packed("hash", (g[:, 0] % np.uint64(n)).astype(np.int64), b.ids[d], b.keys[d], s, g)
+                first = np.flatnonzero(~later)
+                first = first[np.lexsort((start[first], doc[first]))]
+                d, s, g = doc[first], start[first], h[first]
+                out += _packed("hash", (g[:, 0] % np.uint64(n)).astype(np.int64), b.ids[d], b.keys[d], s, g.view(np.uint32).reshape(-1, 4)[:, :3])
         return pd.DataFrame(out, columns=NAMES)
 
     def repeats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] != "hash":
             return pdf
         ids, keys, at, raw = _unpacked(pdf)
-        h = np.ascontiguousarray(raw).view(np.uint64).reshape(-1, 2)
-        order = np.lexsort((at, ids, h[:, 1], h[:, 0]))
+        h = np.ascontiguousarray(raw).view(np.uint32).reshape(-1, 3)
+        order = np.lexsort((at, ids, h[:, 2], h[:, 1], h[:, 0]))
         ids, keys, at, h = ids[order], keys[order], at[order], h[order]
         new = np.r_[True, (h[1:] != h[:-1]).any(axis=1)]
         low = np.flatnonzero(new)[np.cumsum(new) - 1]
