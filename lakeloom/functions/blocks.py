@@ -11,6 +11,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def text_at(value: Any, key: str) -> str | None:
@@ -109,7 +110,7 @@ def render(blocks: list[dict]) -> str:
     return "".join(f"{x}\n" for x in out)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def render_blocks(blocks_json: pd.Series) -> pd.Series:
     """Stored blocks as readable text; what isn't a list of blocks renders as nothing."""
 

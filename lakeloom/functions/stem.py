@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # The published rules of steps 2, 3 and 4, in their order.
 STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
@@ -72,7 +73,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     """The stems of each row's tokens; each distinct word of a batch is stemmed once."""
     known: dict[str, str] = {}
