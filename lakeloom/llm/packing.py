@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 BLOCK_TOKENS, GRAIN = 1 << 19, 512
 #: Bounds of the cache from a text's space-separated strings to their ids.
-CACHE_ITEMS, CACHE_CHARS = 800_000, 64
+CACHE_ITEMS, CACHE_CHARS = 1_500_000, 64
 
 
 #: Fixed values of the vocabulary's file: the suffix of a word's last token, and marks that are parted from letters.
@@ -48,60 +49,50 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        stems, parts, new = self.stems, [], set()
-        for w in words:
-            s = w.rstrip(MARKS)
-            if not s.isalpha():
-                parts.append((w, ""))
-                continue
-            parts.append((s.lower() if s.isascii() else s, w[len(s) :]))
-            if parts[-1][0] not in stems:
-                new.add(parts[-1][0])
-        new = list(new)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        other = [w for w in words if not w.isalpha()]
+        stems = [w.rstrip(MARKS) for w in other]
+        new = list(words.difference(other).union(x for x in stems if x.isalpha()).difference(known))
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
             ids = self._ids(" ".join(part))
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(ends) == len(part):
-                raw, start = ids.tobytes(), 0
-                for x, end in zip(part, ends, strict=True):
-                    stems[x] = raw[4 * start : 4 * end]
-                    start = end
+                raw = ids.tobytes()
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
-                stems |= {x: self._ids(x).tobytes() for x in part}
-        known = self.known
-        for w, (s, marks) in zip(words, parts, strict=True):
-            for x in (s, marks):
-                if x not in stems:
-                    stems[x] = self._ids(x).tobytes()
-            known[w] = stems[s] + stems[marks] if marks else stems[s]
-        for s, _ in parts:
-            if len(s) > CACHE_CHARS:
-                stems.pop(s, None)
+                known.update((x, self._ids(x).tobytes()) for x in part)
+        for w, x in zip(other, stems, strict=True):
+            if not x.isalpha():
+                known[w] = self._ids(w).tobytes()
+                continue
+            marks = w[len(x) :]
+            if marks not in known:
+                known[marks] = self._ids(marks).tobytes()
+            known[w] = known[x] + known[marks]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         if len(known) > CACHE_ITEMS:
             known.clear()
-        if len(self.stems) > CACHE_ITEMS:
-            self.stems.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(known))
+        # lower case comes first here as it does in the vocabulary's rules, but for letters whose case has context
+        split = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
         for w in new:
             if len(w) > CACHE_CHARS:
-                del known[w]
+                known.pop(w, None)
         return out
 
 
@@ -115,6 +106,9 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+SUM = itemgetter(0)
+
+
 def _merge(a: list, b: list, k: int) -> list:
     """Two partial partitions, each a list of (sum, items) from the fullest window down, without their empty windows."""
     both = max(0, len(a) + len(b) - k)  # so many windows of a meet a non-empty one of b, the fullest the emptiest
@@ -124,7 +118,7 @@ def _merge(a: list, b: list, k: int) -> list:
         low_a, low_b = a[k - len(b) :], b[k - len(a) :]
         joined = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(low_a, reversed(low_b), strict=True)]
         a, b = a[: k - len(b)], b[: len(b) - both]
-    return list(heapq.merge(sorted(joined, key=lambda x: -x[0]), a, b, key=lambda x: -x[0]))
+    return sorted([*a, *b, *joined], key=SUM, reverse=True)
 
 
 def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
