@@ -27,6 +27,7 @@ from .graph import connected_components
 SEED = 42
 #: Runs longer than this leave a spanning forest.
 LONG_RUN = 64
+BEYOND = 1 << 62
 
 
 def fingerprint(text: str | None, words: int, width: int = 64) -> int:
@@ -165,9 +166,9 @@ def _links(fp: np.ndarray, fp2: np.ndarray, home: np.ndarray, most: int) -> tupl
 
 
 def fingerprint_links(distinct: DataFrame, most: int, blocks: int, first_most: int | None = None) -> DataFrame:
-    """(a, b, a2, b2): links between distinct fingerprints that differ in at most `most` bits.
+    """(a, b): links between distinct fingerprints that differ in at most `most` bits.
 
-    distinct: (fp, fp2), each pair once. Both halves count for the distance. Anchors look at fp alone; all
+    distinct: (fp, fp2, node), each pair once; a and b are the nodes. Both halves count for the distance. Anchors look at fp alone; all
     links are found that differ in at most first_most bits there (default: most, so all).
     """
     near = (most if first_most is None else first_most) // blocks
@@ -178,14 +179,15 @@ def fingerprint_links(distinct: DataFrame, most: int, blocks: int, first_most: i
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 fp, fp2 = (part.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+                node = part.column(2).to_numpy()
                 for k, code in enumerate(codes):
                     rows, anchor = code.within(fp, 1 + near)
                     home = code.nearest(fp)[rows] == anchor
                     key = (anchor << np.uint64(8) | np.uint64(k)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows].view(np.int64)), pa.array(fp2[rows].view(np.int64)), pa.array(home)], ["anchor", "fp", "fp2", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows].view(np.int64)), pa.array(fp2[rows].view(np.int64)), pa.array(node[rows]), pa.array(home)], ["anchor", "fp", "fp2", "node", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, fp, fp2, home):
+        def flush(key, fp, fp2, node, home):
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
             size = ends - starts
@@ -204,12 +206,12 @@ def fingerprint_links(distinct: DataFrame, most: int, blocks: int, first_most: i
             if not out_a:
                 return None
             a, b = np.concatenate(out_a), np.concatenate(out_b)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[a], fp2[a], fp[b], fp2[b])], ["a", "a2", "b", "b2"])
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:
-            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            new = (new[0], new[1].view(np.uint64), new[2].view(np.uint64), new[3])
+            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            new = (new[0], new[1].view(np.uint64), new[2].view(np.uint64), *new[3:])
             if not len(new[0]):
                 continue
             last = np.searchsorted(new[0], new[0][-1])  # the last run may go on in the next batch
@@ -224,9 +226,9 @@ def fingerprint_links(distinct: DataFrame, most: int, blocks: int, first_most: i
         if whole and len(whole[0]) and (out := flush(*whole)) is not None:
             yield out
 
-    spread = distinct.select("fp", "fp2").mapInArrow(replicate, "anchor long, fp long, fp2 long, home boolean")
+    spread = distinct.select("fp", "fp2", "node").mapInArrow(replicate, "anchor long, fp long, fp2 long, node long, home boolean")
     sorted_ = spread.repartition("anchor").sortWithinPartitions("anchor")
-    return sorted_.mapInArrow(compare, "a long, a2 long, b long, b2 long")
+    return sorted_.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, blocks: int = 2, width: int = 64, first_most: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,11 +239,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, blocks: int
     all of the component's are null. No rows give no rows.
     """
     prints = materialize(fingerprints(docs, words, doc_id, text, width), "prints")
-    first = materialize(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")), "first")
-    key = F.struct("fp", "fp2")
-    links = fingerprint_links(first, most, blocks, first_most).select(F.struct(F.col("a").alias("fp"), F.col("a2").alias("fp2")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b2").alias("fp2")).alias("b"))
-    parts = materialize(connected_components(links), "components")
-    low = first.join(parts, key == F.col("node")).groupBy("component").agg(F.min("first").alias("component_id"))
-    groups = parts.join(low, "component").select(F.col("node.fp").alias("fp"), F.col("node.fp2").alias("fp2"), "component_id")
-    known = first.join(groups, ["fp", "fp2"], "left").select("fp", "fp2", F.coalesce("component_id", "first").alias("component_id"))
+    # a fingerprint's node is its smallest id; of null ids only, a number beyond all ids
+    beyond = F.lit(BEYOND) + F.pmod(F.xxhash64("fp", "fp2"), F.lit(BEYOND))
+    first = materialize(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")).withColumn("node", F.coalesce("first", beyond)), "first")
+    parts = connected_components(fingerprint_links(first, most, blocks, first_most))
+    low = F.coalesce("component", "node")
+    known = first.join(parts, "node", "left").select("fp", "fp2", F.when(low < BEYOND, low).alias("component_id"))
     return prints.join(materialize(known, "known"), ["fp", "fp2"]).select("doc_id", "fp", "component_id")
