@@ -40,19 +40,22 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order: of patterns that match at the same place, the first holds.
 PATTERNS = {
-    "email": r"[\p{L}\d][\p{L}\d._%+\-]*@[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?(?:\.[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?)*\.\p{L}{2,}",
-    "secret": r"(?<![\p{L}\d_])(?:sk|pk|rk|ghp|gho|xox[abp])[-_][A-Za-z0-9_\-]{16,}|(?<![\p{L}\d_])AKIA[A-Z0-9]{16}(?![\p{L}\d])|(?<![\p{L}\d_\-])(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{28,}(?![\p{L}\d_\-])",
+    "email": r"(?<![\p{L}\d])[\p{L}\d][\p{L}\d._%+\-]*@[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?(?:\.[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?)*\.\p{L}{2,}",
+    "secret": r"(?<![\p{L}\d_])(?:sk|pk|rk|ghp|gho|xox[abp])[-_](?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{16,}|(?<![\p{L}\d_])AKIA(?=[A-Z]*\d)[A-Z0-9]{16}(?![\p{L}\d])|(?<![\p{L}\d_\-])(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{28,}(?![\p{L}\d_\-])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
     "phone": r"(?<![\d(])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3,4}[.\-]\d{4}(?![\d.\-])|(?<![\d.\-])0\d{1,4}[ /\-]\d{3,4}[ \-]?\d{3,5}(?![\d.\-])",
-    "titled": rf"(?<=(?<![\p{{L}}\d])(?:{_TITLE})\.? ){_NAME}(?: {_NAME})?",
+    "titled": rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}\d])(?:{_TITLE})\.? ){_NAME}(?: {_NAME})?",
     "named": rf"(?<![\p{{L}}\d])(?:{_GIVEN})(?![\p{{L}}\d])(?: {_NAME})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every text with an entity passes.
-GATE = rf"[@+]|\d{{3}}|\d\.\d|[A-Z]{{2}}\d\d|(?:{_TITLE})\.? \p{{Lu}}|(?:{_GIVEN})"
+#: Every entity begins a word, or is a number.
+PATTERN = r"(?:(?<![\p{L}\d])|(?=[\d+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: A cheap test that every text with an entity passes: all but names hold a digit, an at sign or a plus.
+_FIRST = "".join(sorted({n[0] for names in GIVEN.values() for n in names} | {t[0] for t in TITLES}))
+GATE = r"[0-9@+]"
+NAME_GATE = rf"(?<![\p{{L}}\d])(?=[{_FIRST}])(?:(?:{_TITLE})\.? \p{{Lu}}|(?:{_GIVEN})(?![\p{{L}}\d]))"
 
 
 def _kind(x: Column) -> Column:
@@ -88,9 +91,12 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, F.lit(1))
 
 
-def _core(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
-    """A candidate: one letter or digit for each of the canonical form, other characters as they are."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))), 256)
+def _seed(key: str, attempt: int) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("canonical"), F.lit(str(attempt))), 256)
+
+
+def _plain(kind: Column, canonical: Column, seed: Column) -> Column:
+    """One letter or digit for each of the canonical form, other characters as they are."""
     chars = F.split(canonical, "")
     hexa = (kind == "secret") & canonical.rlike("^[0-9a-f]+$")
 
@@ -108,7 +114,11 @@ def _core(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
             .otherwise(c)
         )
 
-    plain = F.array_join(F.transform(chars, one), "")
+    return F.array_join(F.transform(chars, one), "")
+
+
+def _core(kind: Column, canonical: Column, seed: Column, plain: Column, attempt: int) -> Column:
+    """A candidate, within what its kind allows."""
     # octets keep their number of digits and stay within an address's range
     octet = lambda x, i: F.when(F.length(x) == 1, (F.pmod(_draw(seed, i), F.lit(9)) + 1)).when(F.length(x) == 2, F.pmod(_draw(seed, i), F.lit(90)) + 10).otherwise(F.pmod(_draw(seed, i), F.lit(155)) + 100).cast("string")
     address = F.array_join(F.transform(F.split(canonical, r"\."), octet), ".")
@@ -135,7 +145,8 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     real = materialize(entities.select("kind", "canonical").distinct(), "entities")
     done, open_ = None, real
     for attempt in range(ROUNDS):
-        drawn = open_.withColumn("core", _core(F.col("kind"), F.col("canonical"), key, attempt))
+        drawn = open_.withColumn("_seed", _seed(key, attempt)).withColumn("_plain", _plain(F.col("kind"), F.col("canonical"), F.col("_seed")))
+        drawn = drawn.select("kind", "canonical", _core(F.col("kind"), F.col("canonical"), F.col("_seed"), F.col("_plain"), attempt).alias("core"))
         fits = drawn.filter("core != canonical") if attempt < STRICT_ROUNDS else drawn
         if attempt < STRICT_ROUNDS:
             listed = F.col("kind").startswith("given")
@@ -170,7 +181,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, keep_count:
     kept = docs.columns
     extra = [keep_count] if keep_count else []
     t = F.col(text)
-    gated = F.coalesce(t.rlike(GATE), F.lit(False))
+    gated = F.coalesce(t.rlike(GATE) | t.rlike(NAME_GATE), F.lit(False))
     found = F.when(gated, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("_found", found)
     rest = marked.filter(F.size("_found") == 0).select(*kept, *[F.lit(0).alias(c) for c in extra])
