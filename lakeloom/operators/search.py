@@ -8,6 +8,10 @@ postings() gives an inverted index instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +23,18 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OVERFETCH, MOST_ROWS, RRF_K = 20, 50_000, 60
 
 
+_TABLE = str.maketrans(ACCENTED, PLAIN)
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def _words(text: str) -> list[str]:
+    """The tokens of a text, as tokens() has them."""
+    return _WORD.findall(text.lower().translate(_TABLE))
+
+
 def phrases(query: str, stemmed: bool = False) -> list[list[str]]:
     """The query's words as token lists, in order, each list once; words without a token say nothing."""
-    import regex
-
-    low = query.lower().translate(str.maketrans(ACCENTED, PLAIN))
-    found = [regex.findall(r"[\p{L}\p{N}]+", word) for word in low.split()]
+    found = [_words(word) for word in query.split()]
     return [[stem(t) for t in f] if stemmed else f for f in found if f]
 
 
@@ -32,8 +42,18 @@ def occurrences(words: Column, phrase: list[str]) -> Column:
     """How often these tokens follow one another in a token array."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda w: w == phrase[0]))
-    same = lambda w, i: (w == phrase[0]) & (F.slice(words, i + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
-    return F.size(F.filter(words, same))
+
+    def count(ws: Column) -> Column:
+        def same(w: Column, i: Column) -> Column:
+            out = w == phrase[0]
+            for k, token in enumerate(phrase[1:], 1):
+                out = out & F.coalesce(F.get(ws, i + k) == token, F.lit(False))
+            return out
+
+        return F.size(F.filter(ws, same))
+
+    # bound as a lambda's variable, the array is made once a row, not once a token
+    return F.get(F.transform(F.array(words), count), F.lit(0))
 
 
 def scored(docs: DataFrame, query: str, text: str = "text", stemmed: bool = False) -> DataFrame:
@@ -47,19 +67,84 @@ def scored(docs: DataFrame, query: str, text: str = "text", stemmed: bool = Fals
     words = stem_all(tokens(F.col(text))) if stemmed else tokens(F.col(text))
     counted = docs.filter(F.col(text) != "").withColumn("_words", words)
     counted = counted.withColumns({"_len": F.size("_words")} | {f"_f{i}": occurrences(F.col("_words"), p) for i, p in enumerate(wanted)}).drop("_words")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))))
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_document_counts(len(wanted)))
+    return _ranked(counted, stats, len(wanted), docs.columns)
+
+
+def _document_counts(n: int) -> list[Column]:
+    return [F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(n)]
+
+
+def _ranked(counted: DataFrame, stats: DataFrame, n: int, kept: list[str]) -> DataFrame:
+    """BM25 of rows with `_len` and each phrase's count `_f0`, …; stats is one row."""
     hits = counted
-    for i in range(len(wanted)):
+    for i in range(n):
         hits = hits.filter(F.col(f"_f{i}") > 0)
     score = F.lit(0.0)
-    for i in range(len(wanted)):
+    for i in range(n):
         idf = F.ln((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         f = F.col(f"_f{i}")
         score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    kept = docs.columns
     return hits.crossJoin(F.broadcast(stats)).select(*kept, (-score).alias("rank"))
 
 
+TERM_INDEX = "session_key string, line_no int, role string, term string, positions array<int>, length int"
+
+
+def term_index(messages: DataFrame, text: str = "text_for_fts") -> DataFrame:
+    """Stemmed postings of messages: a row for each message and term, with the message's length.
+
+    One pass without a shuffle. A row of the term '' stands for the message itself, so corpus statistics need
+    no other table. Written sorted by term, a query reads the row groups of its terms.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()]
+        for b in batches:
+            rows = []
+            for key, line, role, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                found = _words(t)
+                at: dict[str, list[int]] = {}
+                for i, w in enumerate(found):
+                    term = known.get(w)
+                    if term is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        term = known[w] = stem(w)
+                    at.setdefault(term, []).append(i)
+                rows.append((key, line, role, "", [], len(found)))
+                rows += [(key, line, role, term, places, len(found)) for term, places in at.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], [x.split()[0] for x in TERM_INDEX.split(", ")])
+
+    return messages.filter(F.col(text) != "").select("session_key", "line_no", "role", text).mapInArrow(run, TERM_INDEX)
+
+
+def index_hits(index: DataFrame, query: str) -> DataFrame:
+    """(session_key, line_no, role, rank) of the messages that hold every phrase, by a term index."""
+    wanted = phrases(query, stemmed=True)
+    if not wanted:
+        return index.limit(0).select("session_key", "line_no", "role", F.lit(0.0).alias("rank"))
+    terms = sorted({t for p in wanted for t in p})
+    places = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)]
+    rows = index.filter(F.col("term").isin(terms)).groupBy("session_key", "line_no").agg(F.max("role").alias("role"), F.max("length").alias("_len"), *places)
+
+    def count(phrase: list[str]) -> Column:
+        cols = [F.coalesce(F.col(f"_p{terms.index(t)}"), F.array().cast("array<int>")) for t in phrase]
+
+        def follows(i: Column) -> Column:
+            out = F.lit(True)
+            for k, c in enumerate(cols[1:], 1):
+                out = out & F.array_contains(c, i + k)
+            return out
+
+        return F.size(F.filter(cols[0], follows)) if len(phrase) > 1 else F.size(cols[0])
+
+    counted = rows.withColumns({f"_f{i}": count(p) for i, p in enumerate(wanted)})
+    size = index.filter("term = ''").agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
+    return _ranked(counted, size.crossJoin(counted.agg(*_document_counts(len(wanted)))), len(wanted), ["session_key", "line_no", "role"])
+
+
 def best_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key. The window keeps one row a key in each task before the shuffle."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -72,15 +157,17 @@ def with_position(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def search(bodies: DataFrame, query: str, limit: int = 20, role: str | None = None, titles: DataFrame | None = None, stemmed: bool = False, digits: int | None = 9) -> DataFrame:
+def search(bodies: DataFrame | None, query: str, limit: int = 20, role: str | None = None, titles: DataFrame | None = None, stemmed: bool = False, digits: int | None = 9, hits: DataFrame | None = None) -> DataFrame:
     """(pos, tier, session_id, line_no, rank) of up to `limit` sessions.
 
+    hits: (session_id, line_no, role, rank) from an index, in place of a scan of bodies.
+
     bodies: (session_id, line_no, role, text); titles: (session_id, text), hits of which come first unless a
     role is asked for. Ties go by session and line. As in a row-limited index scan, so many rows are looked at
     as OVERFETCH says. digits: scores are rounded to so many, so that ties are ties everywhere.
     """
     rank = lambda d: d.withColumn("rank", F.round("rank", digits)) if digits else d
-    hits = rank(scored(bodies.select("session_id", "line_no", "role", "text"), query, stemmed=stemmed))
+    hits = rank(scored(bodies.select("session_id", "line_no", "role", "text"), query, stemmed=stemmed) if hits is None else hits)
     if role is not None:
         hits = hits.filter(F.col("role") == role)
     raw = min(max(OVERFETCH * limit, limit), MOST_ROWS)
@@ -94,10 +181,8 @@ def search(bodies: DataFrame, query: str, limit: int = 20, role: str | None = No
 
 def snippet(text: str, query: str, size: int = 12, left: str = "[", right: str = "]", more: str = "…", stemmed: bool = False) -> str:
     """Up to `size` tokens around the first match, matches in brackets; for the few rows of a result."""
-    import regex
-
     wanted = phrases(query, stemmed)
-    spans = [(m.start(), m.end(), t) for m in regex.finditer(r"[\p{L}\p{N}]+", text) for t in phrases(m.group(), stemmed)[0][:1]]
+    spans = [(m.start(), m.end(), t) for m in _WORD.finditer(text) for t in phrases(m.group(), stemmed)[0][:1]]
     words = [t for _, _, t in spans]
     at = [(i, i + len(p)) for p in wanted for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
     if not spans:

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, is_blank, trim
+from ..functions.text import trim
 from .search import best_per_key, fuse, search, with_position
 
 CHUNK = 1200
@@ -95,17 +95,15 @@ def best_chunk(vectors: DataFrame, query: Column, session: str, chunk: str, vec:
     return best_per_key(rows, session, F.col("score").desc(), F.col(chunk))
 
 
-def hybrid_search(bodies: DataFrame, vectors: DataFrame, query: str, query_vec: Column, limit: int, session: str = "session_id", titles: DataFrame | None = None, chunk: str = "ordinal") -> DataFrame:
+def hybrid_search(bodies: DataFrame | None, vectors: DataFrame, query: str, query_vec: Column, limit: int, session: str = "session_id", titles: DataFrame | None = None, chunk: str = "ordinal", words: DataFrame | None = None) -> DataFrame:
     """(pos, session_id, score, rank, line_no, left_pos, right_pos): keyword and vector hits, fused.
 
-    Both lists are three times as long. rank is the keyword score, 0 for sessions that only vectors found.
+    Both lists are three times as long; words: the keyword list, if it is at hand. rank is the keyword score, 0 for sessions that only vectors found.
     """
     over = 3 * limit
-    words = search(bodies, query, over, titles=titles)
+    words = search(bodies, query, over, titles=titles) if words is None else words
     near = best_chunk(vectors, query_vec, session, chunk)
     near = with_position(near, over, F.col("score").desc(), F.col(session)).select(F.col(session).alias("session_id"), "pos")
     fused = fuse(words, near, limit)
     return fused.join(F.broadcast(words.select("session_id", "rank", "line_no")), "session_id", "left").select("pos", "session_id", "score", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"), "left_pos", "right_pos")
 
-
-__all__ = ["chunk_sessions", "chunked", "dot", "embed_chunks", "excerpt", "hashing_embedder", "hybrid_search", "is_blank", "pending", "similar", "best_chunk", "Window"]

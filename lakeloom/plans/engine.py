@@ -39,17 +39,22 @@ class Engine:
     def _titles(self) -> DataFrame:
         return self.store.sessions().select("session_id", F.col("title").alias("text"))
 
-    def search(self, query: str, limit: int = 20, role: str | None = None, stemmed: bool = True) -> DataFrame:
+    def _hits(self, query: str) -> DataFrame:
+        ids = self.store.sessions().select("session_key", "session_id")
+        return s.index_hits(self.store.table("terms"), query).join(ids, "session_key").select("session_id", F.col("line_no").cast("long").alias("line_no"), "role", "rank")
+
+    def search(self, query: str, limit: int = 20, role: str | None = None) -> DataFrame:
         """(pos, tier, session_id, line_no, rank, project, title, snippet); no more than `limit` rows are collected."""
         if not s.phrases(query):
-            return self._with_details(s.empty_hits(self.store.spark), query, stemmed)
-        return self._with_details(s.search(self._bodies(), query, limit, role, self._titles(), stemmed), query, stemmed)
+            return self._with_details(s.empty_hits(self.store.spark), query)
+        return self._with_details(s.search(None, query, limit, role, self._titles(), True, hits=self._hits(query)), query)
 
-    def _with_details(self, hits: DataFrame, query: str, stemmed: bool) -> DataFrame:
+    def _with_details(self, hits: DataFrame, query: str) -> DataFrame:
         latest = self.store.sessions().groupBy("session_id").agg(F.max_by(F.struct("project_name", "title"), F.struct(F.coalesce("last_ts", F.lit(-1)), F.col("session_key"))).alias("s"))
-        texts = self._bodies().groupBy("session_id", "line_no").agg(F.min("text").alias("body"))
-        rows = F.broadcast(hits).join(latest, "session_id", "left").join(texts, ["session_id", "line_no"], "left")
-        cut = F.udf(lambda t: s.snippet(t or "", query, stemmed=stemmed), "string")  # at most `limit` rows
+        few = F.broadcast(hits)
+        texts = self._bodies().join(few.select("session_id", "line_no"), ["session_id", "line_no"], "left_semi").groupBy("session_id", "line_no").agg(F.min("text").alias("body"))
+        rows = few.join(latest, "session_id", "left").join(texts, ["session_id", "line_no"], "left")
+        cut = F.udf(lambda t: s.snippet(t or "", query, stemmed=True), "string")  # at most `limit` rows
         shown = F.when(F.col("line_no") == 0, F.col("s.title")).otherwise(F.col("body"))
         return rows.select("pos", "tier", "session_id", "line_no", "rank", F.col("s.project_name").alias("project"), F.col("s.title").alias("title"), cut(shown).alias("snippet")).orderBy("pos")
 
@@ -79,7 +84,8 @@ class Engine:
             return self.search(query, limit)
         ids = self.store.sessions().select("session_key", "session_id")
         q = F.array(*(F.lit(float(x)) for x in self.embed(["query: " + query])[0]))
-        return v.hybrid_search(self._bodies(), vectors.join(ids, "session_key"), query, q, limit, titles=self._titles())
+        words = s.search(None, query, 3 * limit, None, self._titles(), True, hits=self._hits(query)) if s.phrases(query) else s.empty_hits(self.store.spark)
+        return v.hybrid_search(None, vectors.join(ids, "session_key"), query, q, limit, words=words)
 
     # ---- sequences
 

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import TERM_INDEX, term_index
 from .transcripts import BOUNDARY, MESSAGE, RECORD, WORKTREE, discover, read_records, sessions_of
 
 SCHEMA_VERSION = 1
@@ -27,6 +28,7 @@ SCHEMAS = {
     "relations": "session_key string, line_no int, relation_type string, evidence string, confidence string",
     "skipped_lines": "session_key string, line_no int, reason string",
     "aliases": "session_key string, alias string, set_at long",
+    "terms": TERM_INDEX,
     "chunks": "session_key string, ordinal int, text string",
     "chunk_vectors": "session_key string, ordinal int, dim int, model string, vec array<float>, built_at long",
 }
@@ -71,18 +73,27 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
-    def _replace(self, name: str, fresh: DataFrame, changed: DataFrame, touched: list[int]) -> None:
+    def _exists(self, name: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+    def _replace(self, name: str, fresh: DataFrame | None, changed: DataFrame, touched: list[int]) -> None:
         """In the touched buckets: drop the rows of changed files, add the fresh ones, empty what has none left."""
         columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
-        old = self.table(name).filter(F.col("bucket").isin(touched)).join(changed.select("session_key"), "session_key", "left_anti")
-        new = fresh.select(*columns).withColumn("bucket", self._bucket())
-        rows = old.select(*columns, "bucket").unionByName(new).repartition("bucket")
+        order = ["term"] if name == "terms" else []
+        laid = lambda d: d.repartition("bucket").sortWithinPartitions("bucket", *order) if order else d.repartition("bucket")
+        new = None if fresh is None else fresh.select(*columns).withColumn("bucket", self._bucket())
+        if not self._exists(name):
+            if new is not None:
+                laid(new).write.partitionBy("bucket").parquet(self._path(name))
+            return
+        rows = self.table(name).filter(F.col("bucket").isin(touched)).join(changed.select("session_key"), "session_key", "left_anti").select(*columns, "bucket")
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        rows.write.partitionBy("bucket").parquet(staged)
+        laid(rows if new is None else rows.unionByName(new)).write.partitionBy("bucket").parquet(staged)
         again = self.spark.read.schema(SCHEMAS[name] + ", bucket int").parquet(staged)
         # a bucket without rows writes no partition and would keep its old files
-        left = {r[0] for r in again.select("bucket").distinct().collect()} if touched else set()
-        again.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
+        left = {r[0] for r in again.select("bucket").distinct().collect()}
+        laid(again).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
         for b in set(touched) - left:
             self._delete(f"{self._path(name)}/bucket={b}")
         self._delete(staged)
@@ -116,8 +127,9 @@ class Store:
                 "worktrees": of("worktree").select("session_key", "line_no", *WORKTREE),
                 "relations": of("bridge").select("session_key", "line_no", F.lit("bridge").alias("relation_type"), "evidence", F.lit("explicit").alias("confidence")),
                 "skipped_lines": of("skipped").select("session_key", "line_no", "reason"),
-                "chunks": self.spark.createDataFrame([], SCHEMAS["chunks"]),
-                "chunk_vectors": self.spark.createDataFrame([], SCHEMAS["chunk_vectors"]),
+                "terms": term_index(of("message").select("session_key", "line_no", "role", "text_for_fts")),
+                "chunks": None,
+                "chunk_vectors": None,
             }
             for name, rows in tables.items():
                 self._replace(name, rows, changed, touched)
