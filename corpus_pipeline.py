@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from lakeloom.llm import decontaminate, packing, pii, quality, simhash
 from lakeloom.llm.common import materialize, table
 
-#: Five-word shingles whose sets overlap by 0.8 have an angle of 27 degrees, so 19 of 128 bits differ in the mean.
-NEAR = {"words": 5, "width": 128, "most": 19, "first_most": 11, "blocks": 4}
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier scores below its threshold."""
@@ -24,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays; rows of one id stand or fall together."""
-    groups = simhash.near_duplicates(docs, **NEAR)
+    groups = simhash.similar_documents(docs, words=5, similarity=0.8)
     drop = groups.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(materialize(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -198,12 +198,47 @@ def test_near_duplicates(spark, most, blocks):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, most)
 
 
+def jaccard_links(texts, words):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    return {(i, j): len(a & b) / len(a | b) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])}
+
+
+@pytest.mark.parametrize("long_run", [64, 2])
+def test_similar_documents(spark, monkeypatch, long_run):
+    """Of pairs of similarity over 0.85 none is missed, and none below 0.74 is linked."""
+    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+    rng = random.Random(8)
+    texts = [None, "", "one", "one", "a b c d e f"]
+    for _ in range(40):
+        base = words(rng, 200).split()
+        texts.append(" ".join(base))
+        for n in (1, 3, 8, 16):
+            w = [*base]
+            for k in rng.sample(range(200), n):
+                w[k] = f"v{rng.randrange(9999)}"
+            texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    alike = jaccard_links(texts, 5)
+    assert len(got) == len(texts) and got[0] == got[1] == 0 and got[2] == got[3] == 2
+    assert all(got[i] == got[j] for (i, j), x in alike.items() if x >= 0.85)
+    root = {}
+    find = lambda i: i if root.get(i, i) == i else find(root[i])
+    for (i, j), x in alike.items():
+        if x >= 0.74:
+            root[find(j)] = find(i)
+    assert all(find(i) == find(j) for i, j in got.items())
+    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+
+
 def test_long_runs_keep_their_components(spark, monkeypatch):
     texts = near_texts(random.Random(5))
     monkeypatch.setattr(simhash, "LONG_RUN", 2)
     rng = np.random.default_rng(1)
     fp = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)[:, None] ^ (np.uint64(1) << rng.integers(0, 6, (40, 5), dtype=np.uint64)).ravel()[:40].reshape(40, 1))
-    a, b = simhash._links(fp, np.zeros_like(fp), np.ones(len(fp), bool), 3)
+    a, b = simhash._links(fp[:, None], np.ones(len(fp), bool), 3)
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 3).all() and len(a) < len(fp) and texts
 
 
