@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, packing, pii, quality, simhash
-from lakeloom.llm.common import materialize, table
+from lakeloom.llm.common import materialize, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def surrogate_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates for personal data; n_chars follows a changed text."""
-    out = pii.replace_pii(docs, keep_count="_replaced")
+    (count,) = unused(docs.columns, "_replaced")
+    out = pii.replace_pii(docs, keep_count=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 KEY = "surrogate-key"
 #: Rounds of drawing: in the later ones a surrogate may equal an entity of the corpus, as a small space may be full.
@@ -177,26 +177,30 @@ def _dressed(token: Column, kind: Column, core: Column) -> Column:
 
 
 def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, keep_count: str | None = None) -> DataFrame:
-    """The rows of docs with surrogates in their texts; keep_count: also a column with the number of replacements."""
+    """The rows of docs with surrogates in their texts; keep_count: also a column, new in docs, with the number of replacements.
+
+    All other columns stay as they are, whatever their names.
+    """
     kept = docs.columns
+    row, at_found, at_map = unused(kept, "_row", "_found", "_map")
     extra = [keep_count] if keep_count else []
     t = F.col(text)
     gated = F.coalesce(t.rlike(GATE) | t.rlike(NAME_GATE), F.lit(False))
     found = F.when(gated, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", found)
-    rest = marked.filter(F.size("_found") == 0).select(*kept, *[F.lit(0).alias(c) for c in extra])
-    hits = materialize(marked.filter(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "mentions")
+    marked = docs.withColumn(at_found, found)
+    rest = marked.filter(F.size(at_found) == 0).select(*kept, *[F.lit(0).alias(c) for c in extra])
+    hits = materialize(marked.filter(F.size(at_found) > 0).withColumn(row, F.monotonically_increasing_id()), "mentions")
 
-    mentions = hits.select("_row", F.explode(F.array_distinct("_found")).alias("surface")).withColumn("entity", _kind(F.col("surface")))
+    mentions = hits.select(F.col(row).alias("_row"), F.explode(F.array_distinct(at_found)).alias("surface")).withColumn("entity", _kind(F.col("surface")))
     tokens = mentions.select("_row", "surface", F.posexplode(_tokens(F.col("surface"), F.col("entity"))).alias("at", "token"), "entity")
     tokens = tokens.withColumn("kind", _class(F.col("token"), F.col("entity"))).withColumn("canonical", _canonical(F.col("token"), F.col("kind")))
     chosen = assign_surrogates(tokens, key)
     dressed = tokens.join(chosen, ["kind", "canonical"]).select("_row", "surface", "at", _dressed(F.col("token"), F.col("kind"), F.col("core")).alias("new"))
     whole = dressed.groupBy("_row", "surface").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x.new), " ").alias("new"))
-    maps = whole.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("_map"))
+    maps = whole.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias(at_map))
     gaps = F.split(t, PATTERN, -1)
-    put = F.concat(F.transform("_found", lambda x: F.element_at("_map", x)), F.array(F.lit("")))
+    put = F.concat(F.transform(at_found, lambda x: F.element_at(at_map, x)), F.array(F.lit("")))
     fresh = F.array_join(F.flatten(F.zip_with(gaps, put, lambda a, b: F.array(a, b))), "")
-    changed = hits.join(maps, "_row").withColumn(text, fresh)
-    return rest.unionByName(changed.select(*kept, *[F.size("_found").alias(c) for c in extra]))
+    changed = hits.join(maps.withColumnRenamed("_row", row), row).withColumn(text, fresh)
+    return rest.unionByName(changed.select(*kept, *[F.size(at_found).alias(c) for c in extra]))
 

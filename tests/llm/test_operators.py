@@ -363,6 +363,18 @@ def test_surrogates(spark):
     assert c.split()[9] in pii.GIVEN["f", "cyrillic"]
 
 
+def test_surrogates_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = ["_row", "_found", "_MAP", "_replaced", "kind", "surface"]
+    docs = docs_of(spark, ["mail a.b@c.org", "clean", None]).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    out = corpus_pipeline.surrogate_personal_data(spark, docs, "")
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 3 and all(r[n] == f"{n}{i}" for i, r in got.items() for n in names)
+    assert "a.b@c.org" not in got[0].text and got[1].text == "clean" and got[2].text is None
+
+
 def pii_words(text, mark):
     return [w.strip(",.;") for w in text.split() if mark in w]
 
