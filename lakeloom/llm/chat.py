@@ -13,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 TURN = "array<struct<role:string,text:string>>"
+RESULT = ("prefix_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask")
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -56,23 +59,25 @@ def _mask(turns):
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Every pair's columns other than the two conversations, and prefix_turns, prompt, chosen_completion,
-    chosen_mask, rejected_completion, rejected_mask. A null conversation counts as one without turns."""
+    chosen_mask, rejected_completion, rejected_mask. A null conversation counts as one without turns. Columns
+    of pairs that bear a result's name give way to it."""
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *RESULT)]
+    at_a, at_b, turns = unused(pairs.columns, "_a", "_b", "_turns")
     a, b = (F.coalesce(F.col(c), F.array().cast(TURN)) for c in (chosen, rejected))
     common = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.size("_a"), F.size("_b")), F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.least(F.size(at_a), F.size(at_b)), F.lit(1))),
         F.struct(F.lit(True).alias("same"), F.lit(0).alias("n")),
         lambda s, i: F.struct(
-            (s.same & F.coalesce(F.try_element_at("_a", i) == F.try_element_at("_b", i), F.lit(False))).alias("same"),
-            F.when(s.same & F.coalesce(F.try_element_at("_a", i) == F.try_element_at("_b", i), F.lit(False)), i).otherwise(s.n).alias("n"),
+            (s.same & F.coalesce(F.try_element_at(at_a, i) == F.try_element_at(at_b, i), F.lit(False))).alias("same"),
+            F.when(s.same & F.coalesce(F.try_element_at(at_a, i) == F.try_element_at(at_b, i), F.lit(False)), i).otherwise(s.n).alias("n"),
         ),
         lambda s: s.n,
     )
-    kept = [c for c in pairs.columns if c not in (chosen, rejected)]
-    rest = lambda c: F.slice(c, F.col("prefix_turns") + 1, F.size(c))
-    out = pairs.withColumns({"_a": a, "_b": b}).withColumn("prefix_turns", F.when((F.size("_a") > 0) & (F.size("_b") > 0), common).otherwise(0))
+    rest = lambda c: F.slice(c, F.col(turns) + 1, F.size(c))
+    out = pairs.withColumns({at_a: a, at_b: b}).withColumn(turns, F.when((F.size(at_a) > 0) & (F.size(at_b) > 0), common).otherwise(0))
     return out.select(
         *kept,
-        "prefix_turns",
-        _render(F.slice("_a", F.lit(1), F.col("prefix_turns"))).alias("prompt"),
-        *(x for name, c in (("chosen", "_a"), ("rejected", "_b")) for x in (_render(rest(c)).alias(f"{name}_completion"), _mask(rest(c)).alias(f"{name}_mask"))),
+        F.col(turns).alias("prefix_turns"),
+        _render(F.slice(at_a, F.lit(1), F.col(turns))).alias("prompt"),
+        *(x for name, c in (("chosen", at_a), ("rejected", at_b)) for x in (_render(rest(c)).alias(f"{name}_completion"), _mask(rest(c)).alias(f"{name}_mask"))),
     )

@@ -154,6 +154,9 @@ def test_preferences(spark):
     for r in got.values():
         assert sum(m.length for m in r.chosen_mask) == len(r.chosen_completion)
     assert got[2].chosen_completion == "" and got[3].prompt == got[4].prompt == ""
+    clash = chat.format_preferences(pairs.withColumns({n: F.lit("x") for n in ("_a", "_B", "_turns", "prompt")}))
+    assert clash.columns == ["pair_id", "_a", "_B", "_turns", *chat.RESULT]
+    assert {r.pair_id: (r["_a"], r["_B"], r["_turns"], r.prompt) for r in clash.collect()} == {i: ("x", "x", "x", r.prompt) for i, r in got.items()}
     rows = spark.createDataFrame([(1, 1, "assistant", "a1"), (1, 0, "user", None), (1, 2, None, "u"), (1, 3, "assistant", "a2"), (2, 0, "user", "no answer")], "conv_id long, turn long, role string, text string")
     pair = chat.stale_answers(chat.conversations(rows)).collect()
     assert len(pair) == 1 and pair[0].chosen[-1].text == "a2" and pair[0].rejected[-1].text == "a1" and len(pair[0].chosen) == 4
