@@ -41,7 +41,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In order: of patterns that match at the same place, the first holds.
 PATTERNS = {
     "email": r"(?<![\p{L}\d])[\p{L}\d][\p{L}\d._%+\-]*@[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?(?:\.[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?)*\.\p{L}{2,}",
-    "secret": r"(?<![\p{L}\d_])(?:sk|pk|rk|ghp|gho|xox[abp])[-_](?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{16,}|(?<![\p{L}\d_])AKIA(?=[A-Z]*\d)[A-Z0-9]{16}(?![\p{L}\d])|(?<![\p{L}\d_\-])(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{28,}(?![\p{L}\d_\-])",
+    "secret": r"(?<![\p{L}\d_])(?:sk|pk|rk|ghp|gho|xox[abp])[-_][A-Za-z0-9_\-]{16,}|(?<![\p{L}\d_])AKIA[A-Z0-9]{16}(?![\p{L}\d])|(?<![\p{L}\d_\-])(?=[A-Za-z_\-]*\d)(?=[\d_\-]*[A-Za-z])[A-Za-z0-9_\-]{28,}(?![\p{L}\d_\-])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -52,9 +52,9 @@ PATTERNS = {
 }
 #: Every entity begins a word, or is a number.
 PATTERN = r"(?:(?<![\p{L}\d])|(?=[\d+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: A cheap test that every text with an entity passes: all but names hold a digit, an at sign or a plus.
+#: A cheap test that every text with an entity passes: all but names and keys of a known prefix hold a digit, an at sign or a plus.
 _FIRST = "".join(sorted({n[0] for names in GIVEN.values() for n in names} | {t[0] for t in TITLES}))
-GATE = r"[0-9@+]"
+GATE = r"[0-9@+]|(?=[sprgxA])(?:(?:sk|pk|rk|ghp|gho|xox[abp])[-_]|AKIA)"
 NAME_GATE = rf"(?<![\p{{L}}\d])(?=[{_FIRST}])(?:(?:{_TITLE})\.? \p{{Lu}}|(?:{_GIVEN})(?![\p{{L}}\d]))"
 
 
