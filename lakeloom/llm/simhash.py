@@ -9,7 +9,8 @@ anchor. Within an anchor, fingerprints at home there are compared with all other
 
 Only distinct fingerprints are replicated, so groups of copies cost one row. An anchor's rows are streamed in
 sorted runs; of a long run only a spanning forest of its links leaves the task, never all pairs. For a given
-similarity, a wider fingerprint decides on what its first words bring together.
+similarity, a wider fingerprint decides on what its first words bring together; texts of few shingles are compared
+exactly instead, as majorities among few hashes say little.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SEED = 42
 LONG_RUN = 64
 #: Words of a wide fingerprint that anchors look at.
 SEEN = 3
+#: Up to so many distinct shingles a text is compared by the set itself.
+FEW = 64
 BEYOND = 1 << 62
 
 
@@ -65,24 +68,31 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(majorities(shingle_hashes(text, words))[0])
 
 
-def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text", count: int = 1) -> DataFrame:
-    """(doc_id, fp0, fp1, ..., wide) of every row: the first words of the fingerprint, at most SEEN, and the whole of it if it has more.
+def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text", count: int = 1, few: int = 0, carried: int = 0) -> DataFrame:
+    """(doc_id, fp0, fp1, ..., wide, shingles) of every row: the first words of the fingerprint, at most SEEN, and the whole of it if it has more.
 
-    A fingerprint of one word counts repeated shingles, a wider one stands for the set of them.
+    A fingerprint of one word counts repeated shingles, a wider one stands for the set of them. Texts of at most `few` distinct shingles
+    have no whole one, and those of at most `carried` have the sorted set of hashes in the column shingles, which others leave null.
     """
     seen = min(count, SEEN)
     hashes = (lambda x: shingle_hashes(x, words)) if count == 1 else (lambda x: np.unique(shingle_hashes(x, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = np.array([majorities(hashes(x), count) for x in b.column(1).to_pylist()], np.uint64).reshape(-1, count)
-            columns = [pa.array(values[:, k].view(np.int64)) for k in range(seen)]
+            sets, values = [], []
+            for x in b.column(1).to_pylist():
+                h = hashes(x)
+                values.append(majorities(h, count if len(h) > few else seen))
+                sets.append(h.tobytes() if len(h) <= carried else None)
+            heads = np.array([v[:seen] for v in values], np.uint64).reshape(-1, seen)
+            columns = [pa.array(heads[:, k].copy().view(np.int64)) for k in range(seen)]
             if count > seen:
-                columns.append(pa.array([v.tobytes() for v in values], pa.binary()))
+                columns.append(pa.array([v.tobytes() if len(v) > seen else None for v in values], pa.binary()))
+                columns.append(pa.array(sets, pa.binary()))
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
-    names = ["doc_id", *(f"fp{k}" for k in range(seen)), *["wide"] * (count > seen)]
-    kinds = ["long", *["long"] * seen, *["binary"] * (count > seen)]
+    names = ["doc_id", *(f"fp{k}" for k in range(seen)), *["wide", "shingles"] * (count > seen)]
+    kinds = ["long", *["long"] * seen, *["binary", "binary"] * (count > seen)]
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
 
 
@@ -177,14 +187,18 @@ def _links(fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.
         part = homes[at : at + step]
         near = _distance(fp[part, None], fp[None, :]) <= most
         for k in np.flatnonzero(near.sum(axis=1) > 1):
-            x, ys = part[k], np.flatnonzero(near[k])
-            other = label[ys]
-            for group in np.unique(other[other != label[x]]):
-                from_.append(x), to.append(ys[np.argmax(other == group)])
-                label[label == group] = label[x]
+            _join(part[k], np.flatnonzero(near[k]), label, from_, to)
     return np.array(from_, np.int64), np.array(to, np.int64)
 
 
+def _join(x: int, ys: np.ndarray, label: np.ndarray, from_: list, to: list) -> None:
+    """Link x to one of ys for each other group that they are of, and make all of them one."""
+    other = label[ys]
+    for group in np.unique(other[other != label[x]]):
+        from_.append(x), to.append(ys[np.argmax(other == group)])
+        label[label == group] = label[x]
+
+
 def _flags(fp: np.ndarray, home: np.ndarray, most: int) -> np.ndarray:
     """Which of one anchor's rows have another within the distance, of the two one at home."""
     n, homes = len(fp), np.flatnonzero(home)
@@ -225,11 +239,14 @@ def spread(prints: DataFrame, count: int, blocks: int, near: int) -> DataFrame:
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, node, home, fingerprints) of sorted rows, never a part of an anchor's rows only. A binary column holds all words."""
+    """(anchor, node, home, fingerprints) of sorted rows, never a part of an anchor's rows only. A binary column holds all words; one named shingles a set of any size, then the last is an array of sets."""
 
     def arrays(batch: pa.RecordBatch) -> tuple:
         anchor, node, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if pa.types.is_binary(batch.schema.field(3).type):
+        if batch.schema.field(3).name == "shingles":
+            fp = np.empty(len(anchor), object)
+            fp[:] = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+        elif pa.types.is_binary(batch.schema.field(3).type):
             fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(anchor), -1)
         else:
             fp = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3, batch.num_columns)], axis=1)
@@ -299,6 +316,79 @@ def anchor_matches(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(match, "anchor long, node long, home boolean")
 
 
+def prefix(size: int, similarity: float) -> int:
+    """Of two sets as similar as asked, the smallest so many members of each (in one order for all) have one in common."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+def spread_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(anchor, node, home, shingles): each set of (node, shingles) at an anchor for each hash of its prefix and its class of size.
+
+    Two sets as similar as asked are of one class or of neighbouring ones; so each also visits the class above, where it isn't at home.
+    """
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                held = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                n = np.array([prefix(len(h), similarity) if len(h) else 0 for h in held], np.int64)
+                rows = np.repeat(np.arange(len(held)), n)
+                if not len(rows):
+                    continue
+                heads = np.concatenate([h[:k] for h, k in zip(held, n, strict=True)])
+                level = np.array([math.floor(math.log(max(len(h), 1)) / -math.log(similarity) + 1e-9) for h in held], np.uint64)[rows]
+                for up in (0, 1):
+                    key = (heads ^ (level + np.uint64(up)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), taken.column(0), pa.array(np.full(len(rows), up == 0)), taken.column(1)], ["anchor", "node", "home", "shingles"])
+
+    return sets.select("node", "shingles").mapInArrow(replicate, "anchor long, node long, home boolean, shingles binary").repartition("anchor").sortWithinPartitions("anchor")
+
+
+def _alike(sets: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets (columns) have at least that Jaccard similarity to each of part (rows)."""
+    size = np.array([len(x) for x in sets])
+    stock = np.unique(np.concatenate(list(sets[part])))
+
+    def marks(rows: np.ndarray) -> np.ndarray:
+        flat, row = np.concatenate(list(sets[rows])), np.repeat(np.arange(len(rows)), size[rows])
+        at = np.minimum(np.searchsorted(stock, flat), len(stock) - 1)
+        hit = stock[at] == flat
+        out = np.zeros((len(rows), len(stock)), np.float32)
+        out[row[hit], at[hit]] = 1
+        return out
+
+    mine, near = marks(part), np.empty((len(part), len(sets)), bool)
+    for at in range(0, len(sets), 1024):
+        rows = np.arange(at, min(at + 1024, len(sets)))
+        shared = (mine @ marks(rows).T).astype(np.float64)
+        near[:, rows] = shared >= similarity * (size[part][:, None] + size[rows] - shared) - 1e-9
+    return near
+
+
+def set_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of each anchor's nodes whose sets are as similar as asked, by exact count, one of the two at home there."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, home, sets in _whole_runs(batches):
+            a, b = [], []
+            for s, e, size in zip(*_runs(key), strict=True):
+                homes = np.flatnonzero(home[s:e])
+                if size < 2 or not len(homes):
+                    continue
+                label, from_, to = np.arange(size), [], []
+                for at in range(0, len(homes), 64):
+                    part = homes[at : at + 64]
+                    for x, near in zip(part, _alike(sets[s:e], part, similarity), strict=True):
+                        _join(x, np.flatnonzero(near), label, from_, to)
+                a += [s + x for x in from_]
+                b += [s + y for y in to]
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def _first_nodes(prints: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """Each distinct fingerprint and its node: the smallest id of its rows; of null ids only, a number beyond all ids."""
     beyond = F.lit(BEYOND) + F.pmod(F.xxhash64(*by), F.lit(BEYOND))
@@ -339,14 +429,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     has another within that mean distance and three deviations goes on, only to the anchors where it does, with its whole fingerprint,
     whose distance decides: up to half a deviation over the mean, so that fewer pairs are lost than linked from below. At 2,048 bits a
     deviation is about 0.015 in similarity. Texts alike in all of the first words are one. Rows with nulls count as in near_duplicates().
+
+    That is for pairs of more than FEW distinct shingles each. A pair with a text of at most FEW is found and decided exactly, by the
+    sets of 64-bit hashes: texts of up to FEW / similarity shingles, which are all that can be as similar to one, carry theirs, at
+    most 640 bytes at 0.8. Sets that share a hash among the smallest ones of each, as similar ones must, are compared.
     """
     by = [f"fp{k}" for k in range(SEEN)]
     mean, deviation = bits_at(similarity, 64 * SEEN)
     loose = math.floor(mean + 3 * deviation)
     mean, deviation = bits_at(similarity, 64 * count)
-    prints = materialize(fingerprints(docs, words, doc_id, text, count), "prints")
-    first = _first_nodes(prints, by, F.min("wide").alias("wide"))
-    met = materialize(anchor_matches(spread(first, SEEN, 4, 1), loose), "met")
+    prints = materialize(fingerprints(docs, words, doc_id, text, count, FEW, math.floor(FEW / similarity + 1e-9)), "prints")
+    first = _first_nodes(prints, by, F.min("wide").alias("wide"), F.min("shingles").alias("shingles"))
+    exact = set_links(spread_sets(first.filter("shingles is not null"), similarity), similarity)
+    met = materialize(anchor_matches(spread(first.filter("wide is not null"), SEEN, 4, 1), loose), "met")
     rows = met.join(first.select("node", "wide"), "node").select("anchor", "node", "home", "wide").repartition("anchor").sortWithinPartitions("anchor")
     links = anchor_links(rows, math.floor(mean + deviation / 2))
-    return _with_components(prints, first, links, by).select("doc_id", "component_id")
+    return _with_components(prints, first, links.union(exact), by).select("doc_id", "component_id")

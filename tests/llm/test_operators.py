@@ -236,6 +236,34 @@ def test_similar_documents(spark, monkeypatch, long_run):
     assert simhash.similar_documents(docs_of(spark, [])).count() == 0
 
 
+def test_similar_short_texts_are_decided_exactly(spark):
+    """Sets of n in m shingles (n / m in similarity), copies with the last words changed, and texts with a common line."""
+    rng = random.Random(21)
+    texts = []
+    for n, m in [(4, 5), (5, 6), (6, 7), (8, 10), (11, 14), (12, 15), (14, 17), (20, 25), (48, 60), (64, 80), (3, 4), (7, 9), (60, 76)]:
+        for _ in range(12):
+            w = [f"u{rng.randrange(10**6)}" for _ in range(m + 4)]
+            texts += [" ".join(w[: n + 4]), " ".join(w)]
+    for n in (10, 13, 14, 20, 40):
+        for _ in range(12):
+            w = [f"u{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(w), " ".join([*w[:-1], "changed"])]
+    texts += [f"this line is common to very many texts {words(rng, 2)}" for _ in range(90)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), x in jaccard_links(texts, 5).items():
+        if x >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_long_runs_keep_their_components(spark, monkeypatch):
     texts = near_texts(random.Random(5))
     monkeypatch.setattr(simhash, "LONG_RUN", 2)
