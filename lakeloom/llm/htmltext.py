@@ -3,7 +3,9 @@
 Every element gets a link-adjusted density: its characters for each tag below it, times a logarithm that
 falls as its links grow. A node's density sum is the sum of its children's densities. The element of the
 largest sum is the core; the lowest density on the way from the core up to the body is the threshold. From
-the body down, the first element that reaches the threshold gives the subtree of the largest sum within it.
+the body down, the first element that reaches the threshold gives the subtree of the largest sum within it. The
+core rises to the highest element below the body with another child of content density, so that sections side by
+side and what is between them stay; only blocks of mostly links are left out of it.
 Elements that are boilerplate by their name, role or class are left out before anything is counted.
 
 A null, empty or unparsable page has the empty text. Lengths are not limited; pages of equal html give
@@ -149,6 +151,20 @@ def _largest(top: Node) -> Node:
     return best
 
 
+def _risen(core: Node, body: Node, threshold: float) -> Node:
+    """The highest ancestor below the body that holds content beside the core; blocks of mostly links beside the core are dropped."""
+    top, below, beside, path = core, core, [], []
+    while below.parent is not None and below is not body and below.parent is not body:
+        siblings = [c for c in below.parent.children if c is not below and not c.dropped]
+        path += siblings
+        below = below.parent
+        if any(c.density >= threshold and c.density > 0 and c.link_chars * 2 <= c.chars for c in siblings):
+            top, beside = below, [*path]
+    for c in beside:
+        c.dropped = c.tag in BLOCK and c.link_chars * 2 > c.chars
+    return top
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees of the main text, in page order."""
     nodes = score(root)
@@ -168,6 +184,7 @@ def main_nodes(root: Node) -> list[Node]:
     threshold, up = core.density, core.parent
     while up is not None and up is not body:
         threshold, up = min(threshold, up.density), up.parent
+    core = _risen(core, body, threshold)
     found, stack = [], [body]
     inside = set(map(id, _order(core)))
     while stack:

@@ -76,6 +76,15 @@ def test_main_text(body):
     assert htmltext.main_text(PAGE.format(body)) == "Head & shoulders One bold step. And on. Two café xy. Three."
 
 
+def test_main_text_keeps_sections_side_by_side():
+    p = ["".join(f"{k} word{i} " for i in range(30)).strip() for k in "abcde"]
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(9)) + "</ul>"
+    first, second = ("<div>" + "".join(f"<p>{x}</p>" for x in part) + "</div>" for part in (p[:3], p[3:]))
+    for tail in ("", links):
+        assert htmltext.main_text(f"<body><div id=content><h1>Head</h1>{first}{second}{tail}</div></body>") == " ".join(["Head", *p])
+        assert htmltext.main_text(f"<body><div id=content><h1>Head</h1>{tail}<div>{first}</div><p>Short.</p>{second}</div></body>") == " ".join(["Head", *p[:3], "Short.", *p[3:]])
+
+
 def test_main_text_edges(spark):
     assert [htmltext.main_text(x) for x in (None, "", "<p>", "<script>x", "<!-- a")] == [""] * 5
     assert htmltext.main_text("1 < 2") == "1 < 2"
