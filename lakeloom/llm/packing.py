@@ -16,6 +16,7 @@ Null or empty text: a document of one token, the end token. Equal rows and equal
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
@@ -37,6 +38,15 @@ CACHE_ITEMS, CACHE_CHARS = 800_000, 64
 WORD_END, MARKS = "</w>", ".,;:!?#$%&*|"
 
 
+def _all_letters(word: str) -> bool:
+    """Whether a string is letters only, also in the form in which the vocabulary's rules look at it.
+
+    Lower case or composition can give a letter a mark of its own (a dotted capital I, some Indic letters); such
+    a mark joins with the marks after the word, so the word can't be encoded apart from them.
+    """
+    return word.isascii() and word.isalpha() or word.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha()
+
+
 class WordTokenizer:
     """A tokenizer file applied to whole texts; the ids of each string between spaces or newlines are kept for reuse.
 
@@ -59,9 +69,10 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
-        other = [w for w in words if not w.isalpha()]
+        other = [w for w in words if not _all_letters(w)]
         stems = [w.rstrip(MARKS) for w in other]
-        new = list(words.difference(other).union(x for x in stems if x.isalpha()).difference(known))
+        whole = [_all_letters(x) for x in stems]
+        new = list(words.difference(other).union(x for x, ok in zip(stems, whole, strict=True) if ok).difference(known))
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
             ids = self._ids(" ".join(part))
@@ -71,8 +82,8 @@ class WordTokenizer:
                 known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
                 known.update((x, self._ids(x).tobytes()) for x in part)
-        for w, x in zip(other, stems, strict=True):
-            if not x.isalpha():
+        for w, x, ok in zip(other, stems, whole, strict=True):
+            if not ok:
                 known[w] = self._ids(w).tobytes()
                 continue
             marks = w[len(x) :]
