@@ -8,15 +8,18 @@ within the covering radius plus t // m; of two linked fingerprints, each then li
 anchor. Within an anchor, fingerprints at home there are compared with all others.
 
 Only distinct fingerprints are replicated, so groups of copies cost one row. An anchor's rows are streamed in
-sorted runs; of a long run only a spanning forest of its links leaves the task, never all pairs. For a given
-similarity, a wider fingerprint decides on what its first words bring together; texts of few shingles are compared
-exactly instead, as majorities among few hashes say little.
+sorted runs; of a long run only a spanning forest of its links leaves the task, never all pairs, and an anchor that a
+large share of all rows goes to is split into pairs of blocks, each a group of its own.
+
+For a given similarity, fingerprints only propose: their anchors are wider, so that texts that don't resemble one
+another rarely meet, and what they bring together is grouped and compared by the exact sets of shingles. Texts of few
+shingles are brought together by those sets instead, as majorities among few hashes say little.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +27,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only_result, unused
 from .graph import connected_components
 
 SEED = 42
 #: Runs longer than this leave a spanning forest.
 LONG_RUN = 64
-#: Words of a wide fingerprint that anchors look at.
-SEEN = 3
-#: Up to so many distinct shingles a text is compared by the set itself.
+#: Up to so many distinct shingles a text is brought together with others by the set itself.
 FEW = 64
+#: Rows of an anchor in one group; of more, blocks of rows meet in pairs. Anchors are counted on one node in SAMPLE.
+GROUP_ROWS, GROUP_SETS, SAMPLE = 500_000, 50_000, 100
+#: Shingles compared in one group; larger groups are split likewise.
+GROUP_SHINGLES = 4_000_000
+#: Words of a set's fingerprint, bits of each anchor's block, blocks, and words that decide whether two meet.
+SET_WORDS, SET_BITS, SET_BLOCKS, SEEN = 16, 22, 93, 2
 BEYOND = 1 << 62
 
 
@@ -68,32 +75,37 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(majorities(shingle_hashes(text, words))[0])
 
 
-def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text", count: int = 1, few: int = 0, carried: int = 0) -> DataFrame:
-    """(doc_id, fp0, fp1, ..., wide, shingles) of every row: the first words of the fingerprint, at most SEEN, and the whole of it if it has more.
+def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp0) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp0"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp0 long")
+
+
+def set_prints(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, k0, k1, size, wide, shingles) of rows (doc_id, text): of each text's set of shingles a 128-bit digest and its size.
 
-    A fingerprint of one word counts repeated shingles, a wider one stands for the set of them. Texts of at most `few` distinct shingles
-    have no whole one, and those of at most `carried` have the sorted set of hashes in the column shingles, which others leave null.
+    Sets of more than FEW have a fingerprint of SET_WORDS words in wide; those that can be as similar as asked to one of
+    at most FEW carry their sorted hashes in shingles; what a row hasn't is null.
     """
-    seen = min(count, SEEN)
-    hashes = (lambda x: shingle_hashes(x, words)) if count == 1 else (lambda x: np.unique(shingle_hashes(x, words)))
+    carried = math.floor(FEW / similarity + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, values = [], []
+            out = []
             for x in b.column(1).to_pylist():
-                h = hashes(x)
-                values.append(majorities(h, count if len(h) > few else seen))
-                sets.append(h.tobytes() if len(h) <= carried else None)
-            heads = np.array([v[:seen] for v in values], np.uint64).reshape(-1, seen)
-            columns = [pa.array(heads[:, k].copy().view(np.int64)) for k in range(seen)]
-            if count > seen:
-                columns.append(pa.array([v.tobytes() if len(v) > seen else None for v in values], pa.binary()))
-                columns.append(pa.array(sets, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+                h = np.unique(shingle_hashes(x, words))
+                raw = h.tobytes()
+                key = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64)
+                out.append((int(key[0]), int(key[1]), len(h), majorities(h, SET_WORDS).tobytes() if len(h) > FEW else None, raw if len(h) <= carried else None))
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True))], ["doc_id", "k0", "k1", "size", "wide", "shingles"])
 
-    names = ["doc_id", *(f"fp{k}" for k in range(seen)), *["wide", "shingles"] * (count > seen)]
-    kinds = ["long", *["long"] * seen, *["binary", "binary"] * (count > seen)]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+    return rows.mapInArrow(run, "doc_id long, k0 long, k1 long, size long, wide binary, shingles binary")
 
 
 class HammingCover:
@@ -171,53 +183,76 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _forest(n: int, near: Callable[[np.ndarray], np.ndarray], step: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among n rows; near(rows): a matrix of which rows link to which of all.
+
+    Rows start one after another, and see all others. Two rows of the largest group so far are joined already, so of
+    it no more rows start: among near copies few do.
+    """
+    parent, label, done, from_, to = np.arange(n), np.arange(n), np.zeros(n, bool), [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    size = 1
+    while True:
+        main = np.bincount(label, minlength=n).argmax() if done.any() else -1
+        part = np.flatnonzero(~done & (label != main))[:size]
+        if not len(part):
+            return from_, to
+        for x, row in zip(part.tolist(), near(part), strict=True):
+            ys = np.flatnonzero(row)
+            groups, at = np.unique(label[ys], return_index=True)
+            for g, y in zip(groups.tolist(), ys[at].tolist(), strict=True):
+                a, b = root(g), root(int(label[x]))
+                if a != b:
+                    parent[a] = b
+                    from_.append(x), to.append(y)
+        done[part] = True
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+        size = min(step, size * 4)
+
+
 def _links(fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one anchor's rows as row pairs, fp: (rows, words); of a long run only a spanning forest."""
     n = len(fp)
-    homes = np.flatnonzero(home)
     if n <= LONG_RUN:
+        homes = np.flatnonzero(home)
         a, b = np.nonzero(_distance(fp[homes, None], fp[None, :]) <= most)
         a = homes[a]
         keep = a != b
         return a[keep], b[keep]
-    label = np.arange(n)
-    from_, to = [], []
-    step = max(1, (1 << 22) // n)
-    for at in range(0, len(homes), step):
-        part = homes[at : at + step]
-        near = _distance(fp[part, None], fp[None, :]) <= most
-        for k in np.flatnonzero(near.sum(axis=1) > 1):
-            _join(part[k], np.flatnonzero(near[k]), label, from_, to)
+    near = lambda part: (_distance(fp[part, None], fp[None, :]) <= most) & (home[part, None] | home[None, :])
+    from_, to = _forest(n, near, max(1, (1 << 22) // n))
     return np.array(from_, np.int64), np.array(to, np.int64)
 
 
-def _join(x: int, ys: np.ndarray, label: np.ndarray, from_: list, to: list) -> None:
-    """Link x to one of ys for each other group that they are of, and make all of them one."""
-    other = label[ys]
-    for group in np.unique(other[other != label[x]]):
-        from_.append(x), to.append(ys[np.argmax(other == group)])
-        label[label == group] = label[x]
-
+def split_hot(replicate: Callable[[DataFrame], DataFrame], nodes: DataFrame, limit: int) -> DataFrame:
+    """replicate(nodes), whose rows (anchor, node, home, ...) come together by group and in order; the anchor is the group.
 
-def _flags(fp: np.ndarray, home: np.ndarray, most: int) -> np.ndarray:
-    """Which of one anchor's rows have another within the distance, of the two one at home."""
-    n, homes = len(fp), np.flatnonzero(home)
-    found = np.zeros(n, bool)
-    step = max(1, (1 << 20) // n)
-    for at in range(0, len(homes), step):
-        part = homes[at : at + step]
-        near = _distance(fp[part, None], fp[None, :]) <= most
-        near[np.arange(len(part)), part] = False
-        found[part] |= near.any(axis=1)
-        found |= near.any(axis=0)
-    return found
+    An anchor of more than about `limit` rows, as counted on one node in SAMPLE, is a group for each pair of its blocks
+    of rows. Any two rows of an anchor still meet, and no group grows with the data.
+    """
+    out = replicate(nodes)
+    few = replicate(nodes.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLE)) == 0))
+    hot = materialize(few.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE * 2 > limit).select("anchor", F.ceil(F.col("n") * SAMPLE * 2 / limit).cast("int").alias("_blocks")), "hot")
+    if not hot.isEmpty():
+        more = [c for c in out.columns if c != "anchor"]
+        block, other = F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks") - 1, F.lit(0)))).alias("_other")
+        met = out.join(hot, "anchor", "left").select("anchor", *more, "_blocks", block.alias("_block"), other)
+        group = F.when(F.col("_blocks").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("_block", "_other"), F.greatest("_block", "_other")))
+        out = met.select(group.alias("anchor"), *more)
+    return out.repartition("anchor").sortWithinPartitions("anchor")
 
 
 def spread(prints: DataFrame, count: int, blocks: int, near: int) -> DataFrame:
     """(anchor, node, home, fp0, ...): each row of prints (node, fp0, ... of `count` words) at every anchor of each word's blocks.
 
-    A fingerprint goes to all anchors within the covering radius plus `near` bits; home marks its nearest one. An anchor's rows come
-    together and in order.
+    A fingerprint goes to all anchors within the covering radius plus `near` bits; home marks its nearest one.
     """
     words = [f"fp{k}" for k in range(count)]
 
@@ -234,20 +269,40 @@ def spread(prints: DataFrame, count: int, blocks: int, near: int) -> DataFrame:
                     key = (anchor << np.uint64(8) | np.uint64(k)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[rows]), pa.array(home), *(pa.array(x[rows].view(np.int64)) for x in fps)], ["anchor", "node", "home", *words])
 
-    out = prints.select("node", *words).mapInArrow(replicate, ", ".join(["anchor long", "node long", "home boolean", *(f"{w} long" for w in words)]))
-    return out.repartition("anchor").sortWithinPartitions("anchor")
+    return prints.select("node", *words).mapInArrow(replicate, ", ".join(["anchor long", "node long", "home boolean", *(f"{w} long" for w in words)]))
+
+
+def spread_wide(prints: DataFrame) -> DataFrame:
+    """(anchor, node, home, fp0, fp1): each row of prints (node, wide) at the anchor within the covering radius of each of its blocks.
+
+    The blocks' bits are those of the fingerprint, twice in different orders, and the code is perfect but for the
+    block's free bits: so there is one anchor for each block, and no bit more than the radius is allowed for.
+    """
+    order = np.concatenate([np.random.default_rng(k).permutation(64 * SET_WORDS) for k in range(-(-SET_BITS * SET_BLOCKS // (64 * SET_WORDS)))])[: SET_BITS * SET_BLOCKS]
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, weight = HammingCover(0, SET_BITS), 1 << np.arange(SET_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                node = part.column(0).to_numpy()
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(node), -1)
+                bits = np.unpackbits(wide, axis=1, bitorder="little")[:, order].reshape(len(node), SET_BLOCKS, SET_BITS)
+                anchor = code.nearest((bits @ weight).astype(np.uint64)) << np.uint64(8) | np.arange(SET_BLOCKS, dtype=np.uint64)
+                words = [np.repeat(x, SET_BLOCKS) for x in wide.view(np.int64)[:, :SEEN].T]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.ravel().view(np.int64)), pa.array(np.repeat(node, SET_BLOCKS)), pa.array(np.ones(anchor.size, bool)), *map(pa.array, words)], ["anchor", "node", "home", *(f"fp{k}" for k in range(SEEN))])
+
+    return prints.select("node", "wide").mapInArrow(replicate, "anchor long, node long, home boolean" + "".join(f", fp{k} long" for k in range(SEEN)))
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, node, home, fingerprints) of sorted rows, never a part of an anchor's rows only. A binary column holds all words; one named shingles a set of any size, then the last is an array of sets."""
+    """(anchor, node, home, fingerprints) of sorted rows, never a part of an anchor's rows only. With a column named shingles the last is an array of sets."""
 
     def arrays(batch: pa.RecordBatch) -> tuple:
         anchor, node, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if batch.schema.field(3).name == "shingles":
             fp = np.empty(len(anchor), object)
             fp[:] = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-        elif pa.types.is_binary(batch.schema.field(3).type):
-            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(anchor), -1)
         else:
             fp = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3, batch.num_columns)], axis=1)
         return anchor, node, home, fp
@@ -300,22 +355,6 @@ def anchor_links(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def anchor_matches(rows: DataFrame, most: int) -> DataFrame:
-    """(anchor, node, home): the rows that have another within the distance at their anchor, one of the two at home there."""
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, home, fp in _whole_runs(batches):
-            starts, ends, size = _runs(key)
-            found = np.zeros(len(key), bool)
-            for a, b in _short_pairs(key, home, fp, size, most):
-                found[a] = found[b] = True
-            for s, e in zip(starts[size > LONG_RUN], ends[size > LONG_RUN], strict=True):
-                found[s:e] |= _flags(fp[s:e], home[s:e], most)
-            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (key, node, home)], ["anchor", "node", "home"])
-
-    return rows.mapInArrow(match, "anchor long, node long, home boolean")
-
-
 def prefix(size: int, similarity: float) -> int:
     """Of two sets as similar as asked, the smallest so many members of each (in one order for all) have one in common."""
     return size - math.ceil(similarity * size - 1e-9) + 1
@@ -343,63 +382,97 @@ def spread_sets(sets: DataFrame, similarity: float) -> DataFrame:
                     taken = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(key), taken.column(0), pa.array(np.full(len(rows), up == 0)), taken.column(1)], ["anchor", "node", "home", "shingles"])
 
-    return sets.select("node", "shingles").mapInArrow(replicate, "anchor long, node long, home boolean, shingles binary").repartition("anchor").sortWithinPartitions("anchor")
+    return sets.select("node", "shingles").mapInArrow(replicate, "anchor long, node long, home boolean, shingles binary")
 
 
-def _alike(sets: np.ndarray, part: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets (columns) have at least that Jaccard similarity to each of part (rows)."""
+def _set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the sets that have at least that Jaccard similarity, by exact counts."""
     size = np.array([len(x) for x in sets])
-    stock = np.unique(np.concatenate(list(sets[part])))
-
-    def marks(rows: np.ndarray) -> np.ndarray:
-        flat, row = np.concatenate(list(sets[rows])), np.repeat(np.arange(len(rows)), size[rows])
-        at = np.minimum(np.searchsorted(stock, flat), len(stock) - 1)
-        hit = stock[at] == flat
-        out = np.zeros((len(rows), len(stock)), np.float32)
-        out[row[hit], at[hit]] = 1
+    ends = np.cumsum(size)
+    stock, flat = np.unique(np.concatenate(sets), return_inverse=True) if ends[-1] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def near(part: np.ndarray) -> np.ndarray:
+        out = np.empty((len(part), len(sets)), bool)
+        for k, x in enumerate(part):
+            mark = np.zeros(len(stock), bool)
+            mark[flat[ends[x] - size[x] : ends[x]]] = True
+            shared = np.diff(np.r_[0, np.r_[0, np.cumsum(mark[flat])][ends]])
+            out[k] = shared >= similarity * (size[x] + size - shared) - 1e-9
         return out
 
-    mine, near = marks(part), np.empty((len(part), len(sets)), bool)
-    for at in range(0, len(sets), 1024):
-        rows = np.arange(at, min(at + 1024, len(sets)))
-        shared = (mine @ marks(rows).T).astype(np.float64)
-        near[:, rows] = shared >= similarity * (size[part][:, None] + size[rows] - shared) - 1e-9
-    return near
+    return _forest(len(sets), near, 64)
 
 
 def set_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a spanning forest of each anchor's nodes whose sets are as similar as asked, by exact count, one of the two at home there."""
+    """(a, b): a spanning forest of each anchor's nodes whose sets are as similar as asked."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, home, sets in _whole_runs(batches):
             a, b = [], []
             for s, e, size in zip(*_runs(key), strict=True):
-                homes = np.flatnonzero(home[s:e])
-                if size < 2 or not len(homes):
-                    continue
-                label, from_, to = np.arange(size), [], []
-                for at in range(0, len(homes), 64):
-                    part = homes[at : at + 64]
-                    for x, near in zip(part, _alike(sets[s:e], part, similarity), strict=True):
-                        _join(x, np.flatnonzero(near), label, from_, to)
-                a += [s + x for x in from_]
-                b += [s + y for y in to]
+                if size > 1 and home[s:e].any():
+                    from_, to = _set_forest(list(sets[s:e]), similarity)
+                    a += [s + x for x in from_]
+                    b += [s + y for y in to]
             yield pa.RecordBatch.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _first_nodes(prints: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """Each distinct fingerprint and its node: the smallest id of its rows; of null ids only, a number beyond all ids."""
-    beyond = F.lit(BEYOND) + F.pmod(F.xxhash64(*by), F.lit(BEYOND))
-    return materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("first"), *more).withColumn("node", F.coalesce("first", beyond)), "first")
+def verified_links(rows: DataFrame, first: DataFrame, proposed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): of the groups that proposed links make, the exact links, as spanning forests.
+
+    rows: (doc_id, text); first: (node, size). Each text goes once to its group, so nothing is sent for each pair. A group
+    of more than GROUP_SHINGLES is compared by pairs of its blocks.
+    """
+    members = materialize(connected_components(proposed), "members")
+    weight = members.join(first.groupBy("node").agg(F.sum("size").alias("size")), "node").groupBy("component").agg(F.sum("size").alias("size"))
+    large = weight.filter(F.col("size") > GROUP_SHINGLES).select("component", F.ceil(F.col("size") * 2 / GROUP_SHINGLES).cast("int").alias("blocks"))
+    texts = rows.join(members.join(large, "component", "left").withColumnRenamed("node", "doc_id"), "doc_id")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("blocks", F.lit(1))).cast("int")
+    met = texts.select("doc_id", "text", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))).alias("other"))
+    groups = met.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("anchor"), "doc_id", "text").repartition("anchor").sortWithinPartitions("anchor")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, [], {})
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            _, ids, sets = held
+            if len(ids) > 1:
+                a, b = _set_forest(list(sets), similarity)
+                out.extend((ids[x], ids[y]) for x, y in zip(a, b, strict=True))
+
+        def taken() -> pa.RecordBatch:
+            record = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out.clear()
+            return record
+
+        for batch in batches:
+            for anchor, i, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if anchor != held[0]:
+                    close()
+                    held = (anchor, [], [])
+                held[1].append(i)
+                held[2].append(np.unique(shingle_hashes(t, words)))
+            yield taken()
+        close()
+        yield taken()
+
+    return groups.mapInArrow(compare, "a long, b long").filter("a != b")
+
+
+def row_id(doc_id: str, text: str) -> Column:
+    """A row's id; a row of null id has one beyond all ids, from its text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(BEYOND) + F.pmod(F.xxhash64(F.lit(0), F.col(text)), F.lit(BEYOND)))
 
 
 def _with_components(prints: DataFrame, first: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
-    """(doc_id, by, component_id) of every row of prints; component_id is its component's smallest id."""
-    low = F.coalesce("component", "node")
-    known = first.join(connected_components(links), "node", "left").select(*by, F.when(low < BEYOND, low).alias("component_id"))
-    return prints.select("doc_id", *by).join(materialize(known, "known"), by)
+    """(doc_id, by, component_id) of every row of prints, itself materialized; component_id is its component's smallest id."""
+    with only_result(prints.sparkSession) as keep:
+        known = materialize(first.join(connected_components(links), "node", "left").select(*by, F.coalesce("component", "node").alias("component_id")), "known")
+        keep.append(known)
+    return prints.select("doc_id", *by).join(known, by)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, blocks: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,10 +482,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, blocks: int
     of one id are rows of their own with that id. A null id is kept and never becomes a component's id unless
     all of the component's are null. No rows give no rows.
     """
-    prints = materialize(fingerprints(docs, words, doc_id, text), "prints")
-    first = _first_nodes(prints, ["fp0"])
-    links = anchor_links(spread(first, 1, blocks, most // blocks), most)
-    return _with_components(prints, first, links, ["fp0"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
+    rows = docs.select(row_id(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(rows, words), "prints")
+    first = materialize(prints.groupBy("fp0").agg(F.min("doc_id").alias("node")), "first")
+    links = anchor_links(split_hot(lambda d: spread(d, 1, blocks, most // blocks), first, GROUP_ROWS), most)
+    null = lambda c: F.when(F.col(c) < BEYOND, F.col(c))
+    return _with_components(prints, first, links, ["fp0"]).select(null("doc_id").alias("doc_id"), F.col("fp0").alias("fp"), null("component_id").alias("component_id"))
 
 
 def bits_at(similarity: float, width: int) -> tuple[float, float]:
@@ -421,27 +496,48 @@ def bits_at(similarity: float, width: int) -> tuple[float, float]:
     return width * share, math.sqrt(width * share * (1 - share))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row: the smallest id reachable over links of texts as similar as asked.
-
-    A fingerprint of the set of shingles has `count` words. Its first SEEN words are cut into blocks of 16 bits, and a pair is looked at
-    if some block differs in at most one bit: two of similarity 0.8 are so found in 98 % of cases, more similar ones in nearly all. What
-    has another within that mean distance and three deviations goes on, only to the anchors where it does, with its whole fingerprint,
-    whose distance decides: up to half a deviation over the mean, so that fewer pairs are lost than linked from below. At 2,048 bits a
-    deviation is about 0.015 in similarity. Texts alike in all of the first words are one. Rows with nulls count as in near_duplicates().
+def similar_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row of rows (doc_id, text), whose ids row_id() gives: the smallest id reachable over links of texts as similar as asked.
 
-    That is for pairs of more than FEW distinct shingles each. A pair with a text of at most FEW is found and decided exactly, by the
-    sets of 64-bit hashes: texts of up to FEW / similarity shingles, which are all that can be as similar to one, carry theirs, at
-    most 640 bytes at 0.8. Sets that share a hash among the smallest ones of each, as similar ones must, are compared.
+    Every link is exact: the sets of 64-bit shingle hashes have that Jaccard similarity. Links of texts of at most FEW
+    distinct shingles are all found: sets that share a hash among the smallest ones of each, as similar ones must, are
+    compared. Others are found if their fingerprints share an anchor: each of SET_BLOCKS blocks of SET_BITS bits has a chance of
+    0.047 at a similarity of 0.8 and 0.08 at 0.85, so 99 % and nearly all of them meet; they are compared if the
+    first SEEN words differ by at most the mean at that similarity and four deviations.
     """
-    by = [f"fp{k}" for k in range(SEEN)]
+    by = ["k0", "k1"]
     mean, deviation = bits_at(similarity, 64 * SEEN)
-    loose = math.floor(mean + 3 * deviation)
-    mean, deviation = bits_at(similarity, 64 * count)
-    prints = materialize(fingerprints(docs, words, doc_id, text, count, FEW, math.floor(FEW / similarity + 1e-9)), "prints")
-    first = _first_nodes(prints, by, F.min("wide").alias("wide"), F.min("shingles").alias("shingles"))
-    exact = set_links(spread_sets(first.filter("shingles is not null"), similarity), similarity)
-    met = materialize(anchor_matches(spread(first.filter("wide is not null"), SEEN, 4, 1), loose), "met")
-    rows = met.join(first.select("node", "wide"), "node").select("anchor", "node", "home", "wide").repartition("anchor").sortWithinPartitions("anchor")
-    links = anchor_links(rows, math.floor(mean + deviation / 2))
-    return _with_components(prints, first, links.union(exact), by).select("doc_id", "component_id")
+    prints = materialize(set_prints(rows, words, similarity), "prints")
+    first = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("node"), F.min("size").alias("size"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")), "first")
+    short = set_links(split_hot(lambda d: spread_sets(d, similarity), first.filter("shingles is not null").select("node", "shingles"), GROUP_SETS), similarity)
+    proposed = anchor_links(split_hot(spread_wide, first.filter("wide is not null").select("node", "wide"), GROUP_ROWS), math.floor(mean + 4 * deviation))
+    links = short.union(verified_links(rows, first, proposed, words, similarity))
+    return _with_components(prints, first, links, by).select("doc_id", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row, as similar_rows(); rows with nulls count as in near_duplicates()."""
+    found = similar_rows(docs.select(row_id(doc_id, text).alias("doc_id"), F.col(text).alias("text")), words, similarity)
+    return found.select(*(F.when(F.col(c) < BEYOND, F.col(c)).alias(c) for c in ("doc_id", "component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with one of each group of similar texts: the one of the smallest id; null ids come last.
+
+    Of rows of equal id and text one stays. Rows of one id with texts that differ are of one group, and stay or go
+    together. All columns stay as they are.
+    """
+    (key,) = unused(docs.columns, "_id")
+    spark, rows = docs.sparkSession, docs.select(row_id(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
+    found = similar_rows(rows, words, similarity)
+    with only_result(spark) as keep:
+        seen = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("n")).filter("low != doc_id or n > 1"), "seen")
+        keep.append(seen)
+    marked = docs.withColumn(key, row_id(doc_id, text))
+    gone = seen.filter("low != doc_id").select(F.col("doc_id").alias(key))
+    twice = seen.filter("low = doc_id").select(F.col("doc_id").alias(key))
+    left = marked.join(gone, key, "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    again = left.join(twice, key, "left_semi").dropDuplicates([key, text])
+    return left.join(twice, key, "left_anti").unionByName(again).select(*docs.columns)
