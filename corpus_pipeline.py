@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, packing, pii, quality, simhash
-from lakeloom.llm.common import materialize, table, unused
+from lakeloom.llm.common import drop_table, materialize, only_result, table, unused
+from lakeloom.llm.queries import surrogate_key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; rows of one id stand or fall together."""
-    groups = simhash.similar_documents(docs, words=5, similarity=0.8)
-    drop = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(materialize(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document of the smallest id stays, and of rows of equal id and text one."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def surrogate_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates for personal data; n_chars follows a changed text."""
     (count,) = unused(docs.columns, "_replaced")
-    out = pii.replace_pii(docs, keep_count=count)
+    out = pii.replace_pii(docs, surrogate_key(spark), keep_count=count)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -50,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's table is deleted once the next one is written; the last is read when the result is taken."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with only_result(spark) as keep:
+            new = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(new)
+        if k:
+            drop_table(docs)
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)
