@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, only_result
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 FEATURES, RIDGE, SEED, BINS, THRESHOLD = 384, 1e-3, 7, 2000, 0.3
@@ -125,6 +125,11 @@ def isotonic(count: np.ndarray, total: np.ndarray, at: np.ndarray) -> tuple[np.n
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", features: int = FEATURES, ridge: float = RIDGE) -> QualityModel:
     """Fit on the labelled rows outside the held-out fold; one fold of these calibrates."""
+    with only_result(stats.sparkSession):
+        return _train(stats, labels, label, doc_id, features, ridge)
+
+
+def _train(stats: DataFrame, labels: DataFrame, label: str, doc_id: str, features: int, ridge: float) -> QualityModel:
     model, d = QualityModel(features), features + 1
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     rows = materialize(stats.join(known, "doc_id").withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT).select("stats", "y", "fold"), "labelled")

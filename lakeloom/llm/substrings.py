@@ -11,7 +11,7 @@ cover positions only, find every pair. Three steps:
 
 Rows between the steps are packed arrays for a batch and bucket. A batch sends each hash once, whatever its
 frequency, so a hot passage costs one entry for each batch; what repeats within a batch is marked there. The
-number of buckets follows the total text size. All steps recompute from the documents; nothing is collected.
+number of buckets, and of tasks, follows the total text size. All steps recompute from the documents; nothing is collected.
 
 Null text has no words. Rows of the same id are in the order of their text's hash; equal rows don't count as
 earlier than one another. Null ids come before all others. No rows give no rows.
@@ -263,10 +263,11 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             keys = np.array(b.column(1).to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_doc_bucket(ids, keys, n))], ["doc_id", "key", "text", "bucket"])
 
-    by_doc = rows.mapInArrow(with_bucket, "doc_id long, key long, text string, bucket long")
-    pieces = rows.mapInArrow(anchors, PACKED)
-    marks = pieces.groupBy("to", "bucket").applyInPandas(twice, PACKED)
-    windows = by_doc.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(extend, PACKED)
-    marks = windows.groupBy("to", "bucket").applyInPandas(repeats, PACKED)
+    by_doc = rows.mapInArrow(with_bucket, "doc_id long, key long, text string, bucket long").repartition(n, "bucket")
+    by_target = lambda d: d.repartition(n, "to", "bucket").groupBy("to", "bucket")
+    by_bucket = lambda d: d.repartition(n, "bucket").groupBy("bucket")
+    marks = by_target(rows.mapInArrow(anchors, PACKED)).applyInPandas(twice, PACKED)
+    windows = by_doc.groupBy("bucket").cogroup(by_bucket(marks)).applyInPandas(extend, PACKED)
+    marks = by_target(windows).applyInPandas(repeats, PACKED)
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return by_doc.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(drop, result)
+    return by_doc.groupBy("bucket").cogroup(by_bucket(marks)).applyInPandas(drop, result)
