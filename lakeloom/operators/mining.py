@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import crop, is_blank, trim
@@ -52,8 +52,6 @@ def prose_lines(prose: DataFrame, order: list[str], session: str = "session_id",
 
     prose must be ordered session by session in `order`; a session that goes on in the next shard has no second header.
     """
-    from pyspark.sql import Window
-
     kept = prose.filter(~is_noise(F.col(text)))
     first = F.row_number().over(Window.partitionBy(session).orderBy(*order)) == 1
     header = F.when(first, F.concat(F.lit("\n--- session ["), F.col(project), F.lit("] ---\n"))).otherwise("")
@@ -67,8 +65,6 @@ def topic_lines(prose: DataFrame, topic: DataFrame, order: list[str], session: s
 
     topic: a table of session ids, repeats allowed. Sessions are in the order of their id.
     """
-    from pyspark.sql import Window
-
     related = prose.join(topic.select(session).distinct(), session, "left_semi")
     first = F.row_number().over(Window.partitionBy(session).orderBy(*order)) == 1
     header = F.when(first, F.concat(F.lit("\n===== session ["), F.col(project), F.lit("] "), F.left(title, F.lit(60)), F.lit(" =====\n"))).otherwise("")
@@ -88,23 +84,24 @@ def prevalence(rows: DataFrame, rules: dict[str, str], session: str, project: st
     One pass. Each session's flags are combined before distinct sessions are counted, so rows of a session
     shrink to one in each task before the shuffle.
     """
-    hit = [F.max(F.col(text).rlike(p).cast("int")).alias(f"r{i}") for i, p in enumerate(rules.values())]
-    by_session = rows.groupBy(session).agg(*hit)
-    by_project = rows.groupBy(project).agg(*hit)
-    total = lambda d, n: d.agg(F.count("*").alias(n), *(F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"{n}{i}") for i in range(len(rules))))
-    row = total(by_session, "sessions").crossJoin(total(by_project, "projects"))
+    flags = [F.max(F.col(text).rlike(p).cast("int")).alias(f"r{i}") for i, p in enumerate(rules.values())]
+    pairs = rows.groupBy(F.col(session).alias("s"), F.col(project).alias("p")).agg(*flags)
+    n = range(len(rules))
+    # each pair counts for its session and for its project, in one exchange of the pairs
+    sides = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.xxhash64("s").alias("key"), F.col("s").isNull().alias("none")), F.struct(F.lit(1).alias("side"), F.xxhash64("p").alias("key"), F.col("p").isNull().alias("none")))).alias("k"), *(f"r{i}" for i in n))
+    once = sides.groupBy("k").agg(*(F.max(f"r{i}").alias(f"r{i}") for i in n))
+    of = lambda side, x: F.coalesce(F.sum(F.when(F.col("k.side") == side, x)), F.lit(0))
+    row = once.agg(of(0, F.lit(1)).alias("sessions"), of(1, F.lit(1)).alias("projects"), *(of(side, F.col(f"r{i}")).alias(f"{name}{i}") for side, name in ((0, "sessions"), (1, "projects")) for i in n))
     each = F.array(*(F.struct(F.lit(k).alias("rule"), F.col(f"sessions{i}").alias("session_hits"), F.col(f"projects{i}").alias("projects_seen")) for i, k in enumerate(rules)))
     return row.select("sessions", "projects", F.explode(each).alias("e")).select("e.rule", "e.session_hits", "e.projects_seen", "sessions", "projects")
 
 
 def keep_or_rescue(verified: DataFrame) -> DataFrame:
-    """Kept rules by session hits, then those rescued for their breadth by projects: (pos, rule, …, tier)."""
-    from .search import with_position
-
+    """Kept rules by session hits, then those rescued for their breadth by projects: (pos, rule, …, tier), of any number."""
     rescue = (F.col("projects_seen") >= RESCUE_PROJECTS) | (F.col("session_hits") >= RESCUE_SESSIONS)
     rows = verified.withColumn("tier", F.when(F.col("keep"), 0).when(rescue, 1)).filter("tier is not null")
     by = F.when(F.col("tier") == 0, F.col("session_hits")).otherwise(F.col("projects_seen"))
-    return with_position(rows, 10_000, F.col("tier"), by.desc(), F.col("rule"))
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(F.col("tier"), by.desc(), F.col("rule"))).cast("long"))
 
 
 def consolidate(findings: DataFrame, text: str = "rule", most: int = 16) -> DataFrame:

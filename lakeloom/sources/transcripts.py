@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.blocks import attachment, compact_json, flatten, text_at
-from ..functions.text import basename
+from ..functions.text import basename, words
 
 # Fixed values of the format: line types without a record of their own.
 SKIPPED_TYPES = frozenset("agent-name last-prompt permission-mode mode pr-link file-history-snapshot queue-operation agent-setting".split())
@@ -28,7 +28,7 @@ RFC3339 = re.compile(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:
 RECORD = (
     "session_key string, mtime_ms long, size long, line_no int, kind string, reason string, uuid string, parent_uuid string, rec_type string, subtype string, role string, ts long, cwd string, "
     "is_sidechain boolean, is_compact_summary boolean, blocks_json string, first_kind string, text_for_fts string, logical_parent_uuid string, trigger string, pre_tokens long, post_tokens long, "
-    "original_cwd string, worktree_path string, worktree_name string, branch string, original_branch string, original_head string, continues_session_id string, evidence string, last_sequence long, title string"
+    "original_cwd string, worktree_path string, worktree_name string, branch string, original_branch string, original_head string, continues_session_id string, evidence string, last_sequence long, title string, n_tokens int"
 )
 COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
 MESSAGE = ["uuid", "parent_uuid", "rec_type", "subtype", "role", "ts", "cwd", "is_sidechain", "is_compact_summary", "blocks_json", "first_kind", "text_for_fts"]
@@ -61,7 +61,7 @@ def _message(line: dict, kind: str, body: tuple[str, list[dict]]) -> dict:
     return {
         "kind": "message", "uuid": text_at(line, "uuid"), "parent_uuid": text_at(line, "parentUuid"), "rec_type": kind, "subtype": text_at(line, "subtype"), "role": text_at(_dict(line, "message"), "role"),
         "ts": epoch_ms(line.get("timestamp")), "cwd": text_at(line, "cwd"), "is_sidechain": line.get("isSidechain") is True, "is_compact_summary": line.get("isCompactSummary") is True,
-        "blocks_json": compact_json(blocks), "first_kind": blocks[0]["kind"] if blocks else None, "text_for_fts": text,
+        "blocks_json": compact_json(blocks), "first_kind": blocks[0]["kind"] if blocks else None, "text_for_fts": text, "n_tokens": len(words(text)),
     }
 
 
@@ -90,11 +90,19 @@ def route(value: Any) -> dict | None:
     return _message(line, kind, ("", []))
 
 
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def _strict(raw: str) -> Any:
+    """The value of a line; an error for constants that aren't JSON, and for halves of a surrogate pair, which no text can hold."""
+
     def refuse(x: str) -> None:
         raise ValueError(f"{x} isn't JSON")
 
-    return json.loads(raw, parse_constant=refuse)
+    value = json.loads(raw, parse_constant=refuse)
+    if SURROGATE.search(raw):
+        json.dumps(value, ensure_ascii=False).encode()
+    return value
 
 
 def parse_lines(content: bytes) -> Iterator[dict]:
@@ -112,7 +120,7 @@ def parse_lines(content: bytes) -> Iterator[dict]:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length) of the files exactly one folder below root that end in .jsonl, by path."""
+    """(path, modificationTime, length) of the files exactly one folder below root that end in .jsonl."""
     try:
         files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jsonl")
     except AnalysisException as e:
@@ -160,6 +168,8 @@ def sessions_of(records: DataFrame) -> DataFrame:
         F.count_if(message).alias("message_count"),
         (F.count_if(boundary) > 0).alias("has_compaction"),
         F.count_if(F.col("kind") == "skipped").alias("skipped_lines"),
+        F.count_if(message & (F.col("text_for_fts") != "")).alias("indexed_messages"),
+        F.coalesce(F.sum(F.when(message, F.col("n_tokens"))), F.lit(0)).alias("indexed_tokens"),
     )
     folder = F.element_at(F.split("session_key", "/"), -2)
     return out.withColumns({"session_id": session_id_of(F.col("session_key")), "project_name": F.coalesce(basename(F.col("project_path")), folder)})
