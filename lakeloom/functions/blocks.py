@@ -121,3 +121,16 @@ def render_blocks(blocks_json: pd.Series) -> pd.Series:
             return ""
 
     return blocks_json.map(one)
+
+
+@pandas_udf(StringType())
+def leaves_of(raw: pd.Series) -> pd.Series:
+    """string_leaves() of JSON texts, joined by spaces; what isn't JSON has none."""
+
+    def one(x: str | None) -> str:
+        try:
+            return " ".join(string_leaves(json.loads(x or "null")))
+        except ValueError:
+            return ""
+
+    return raw.map(one)

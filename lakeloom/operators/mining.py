@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import crop, is_blank, trim
 
@@ -47,6 +49,33 @@ def shards(rows: DataFrame, size: str, order: list[str], by: list[str] | None =
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(walk, rows.withColumn("shard", F.lit(0).cast("long")).schema)
 
 
+def id_list(rows: DataFrame, column: str, session: str = "session_id") -> DataFrame:
+    """(session_id): a list of ids as it is written, trimmed, without blanks and repeats; an error if nothing is left."""
+    ids = rows.select(trim(F.col(column)).alias(session)).filter(~is_blank(F.col(session))).distinct()
+    if ids.isEmpty():
+        raise ValueError("the list of sessions is empty")
+    return ids
+
+
+def per_shard(lines: DataFrame, order: list[str], run: Callable[[int, str], list[dict]], schema: str) -> DataFrame:
+    """What run(shard, its text) says of each shard, as rows of the schema: the hook for a reader of shards, a model or a rule.
+
+    A shard is one group of at most its budget and a line.
+    """
+
+    names = StructType.fromDDL(schema).names
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(run(int(key[0]), "".join(part.sort_values(order)["line"])), columns=names)
+
+    return lines.select("shard", *order, "line").groupBy("shard").applyInPandas(one, schema)
+
+
+def read_dump(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """A prose dump (session_id, project, title, ts, text): JSON lines as write_json() writes them, else one array."""
+    return spark.read.schema("session_id string, project string, title string, ts long, text string").option("multiLine", not lines).json(path)
+
+
 def prose_lines(prose: DataFrame, order: list[str], session: str = "session_id", project: str = "project", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """Append `line` and `shard` to prose without noise: a cropped line each, a header where the session begins.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import render_blocks
-from ..functions.text import basename, has_id_prefix, is_blank, shell_quoted, title_or, trim_end
+from ..functions.text import basename, has_id_prefix, is_blank, shell_quoted, short_id, title_or, trim_end
 from .search import with_position
 
 # Fixed values of the format: where worktrees lie below a repository, and what resumes a session.
@@ -22,13 +24,17 @@ def typed_prompts(messages: DataFrame) -> Column:
     return (t != "") & (F.col("rec_type") == "user") & (F.col("first_kind") == "text") & ~t.startswith("<") & ~t.startswith("/")
 
 
-def prose(messages: DataFrame, sessions: DataFrame, role: str = "user", limit: int | None = None) -> DataFrame:
-    """(pos, session_id, project, title, ts, text): the prose of one role, by session start, session and line."""
+def prose(messages: DataFrame, sessions: DataFrame, role: str = "user", limit: int | None = None, keys: bool = False) -> DataFrame:
+    """(session_id, project, title, ts, text, first_ts, session_key, line_no): the prose of one role, by session start, session and line.
+
+    keys: without the order, for what orders by the keys itself.
+    """
     t = F.col("text_for_fts")
     own = messages.filter((F.col("role") == role) & (t != "") & ~F.col("is_sidechain") & (F.col("first_kind") == "text") & ~t.startswith("<") & ~t.startswith("/") & ~t.startswith("["))
     rows = own.join(sessions.select("session_key", "session_id", F.col("project_name").alias("project"), "title", "first_ts"), "session_key")
     order = [F.col("first_ts").asc_nulls_first(), F.col("session_key"), F.col("line_no")]
-    out = rows.select("session_id", "project", "title", "ts", t.alias("text"), "first_ts", "session_key", "line_no").orderBy(*order)
+    out = rows.select("session_id", "project", "title", "ts", t.alias("text"), "first_ts", "session_key", "line_no")
+    out = out if keys else out.orderBy(*order)
     return out if limit is None else out.limit(limit)
 
 
@@ -135,6 +141,10 @@ def classify(sessions: DataFrame, worktrees: DataFrame) -> DataFrame:
     return sessions.join(last, "session_key", "left").withColumns({"repo": repo, "worktree": name, "branch": F.when(explicit, F.col("w.branch")), "confidence": confidence}).drop("w")
 
 
+def _mentions(part: str) -> Column:
+    return F.contains(F.lower(F.concat_ws(" ", "repo", F.coalesce("project_name", F.lit("")), F.coalesce("title", F.lit("")))), F.lit(part.lower()))
+
+
 def topology(sessions: DataFrame, worktrees: DataFrame, contains: str | None = None) -> DataFrame:
     """(repo, worktree, branch, confidence, session_count, message_count, session_ids): the tree, a row for each group.
 
@@ -143,7 +153,7 @@ def topology(sessions: DataFrame, worktrees: DataFrame, contains: str | None = N
     """
     rows = classify(sessions, worktrees)
     if contains is not None:
-        rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "repo", F.coalesce("project_name", F.lit("")), F.coalesce("title", F.lit("")))), F.lit(contains.lower())))
+        rows = rows.filter(_mentions(contains))
     late = F.struct(F.coalesce(-F.col("last_ts"), F.lit(1 << 62)).alias("o"), F.col("session_id"), F.col("branch"))
     sorted_ = F.array_sort(F.collect_list(late))
     return rows.groupBy("repo", "worktree").agg(
@@ -155,21 +165,25 @@ def topology(sessions: DataFrame, worktrees: DataFrame, contains: str | None = N
     )
 
 
-def tree_text(groups: DataFrame, sessions: DataFrame) -> str:
-    """The tree as text, for a terminal; what it shows is collected."""
-    names = {r.session_id: (r.title, r.message_count) for r in sessions.select("session_id", "title", "message_count").collect()}
-    out, repos = [], {}
-    for g in groups.orderBy("repo", F.col("worktree").asc_nulls_first()).collect():
-        repos.setdefault(g.repo, []).append(g)
-    for repo, parts in repos.items():
-        out.append(f"\n{repo}  ({sum(p.session_count for p in parts)} session(s))")
-        for p in parts:
-            if p.worktree is not None:
-                out.append(f"  ├─ ⌥ worktree: {p.worktree} (branch {p.branch or '?'}) [{p.confidence}]")
-            for s in p.session_ids:
-                title, n = names[s]
-                out.append(f"  {'├─' if p.worktree is None else '│    └─'} {s[:8]}  {title or '(untitled)'}  · {n} msgs")
-    return "\n".join(out)
+def tree_lines(sessions: DataFrame, worktrees: DataFrame, contains: str | None = None) -> DataFrame:
+    """(repo, worktree, rank, line): the tree's lines, a row for each, to be ordered by the first three; nothing is gathered."""
+    rows = classify(sessions, worktrees)
+    if contains is not None:
+        rows = rows.filter(_mentions(contains))
+    count = rows.groupBy("repo").agg(F.count("*").alias("n"))
+    head = count.select("repo", F.lit(None).cast("string").alias("worktree"), F.lit(-2).cast("long").alias("rank"), F.concat(F.lit("\n"), "repo", F.lit("  ("), F.col("n").cast("string"), F.lit(" session(s))")).alias("line"))
+    trees = rows.filter("worktree is not null").groupBy("repo", "worktree").agg(F.min_by("branch", F.when(F.col("branch").isNotNull(), F.struct(F.coalesce(-F.col("last_ts"), F.lit(1 << 62)), F.col("session_id")))).alias("branch"), F.min("confidence").alias("confidence"))
+    middle = trees.select("repo", "worktree", F.lit(-1).cast("long").alias("rank"), F.concat(F.lit("  ├─ ⌥ worktree: "), "worktree", F.lit(" (branch "), F.coalesce("branch", F.lit("?")), F.lit(") ["), "confidence", F.lit("]")).alias("line"))
+    mark = F.when(F.col("worktree").isNull(), "├─").otherwise("│    └─")
+    late = Window.partitionBy("repo", "worktree").orderBy(F.coalesce(-F.col("last_ts"), F.lit(1 << 62)), "session_id")
+    leaves = rows.select("repo", "worktree", F.row_number().over(late).cast("long").alias("rank"), F.concat(F.lit("  "), mark, F.lit(" "), short_id(F.col("session_id")), F.lit("  "), title_or(F.col("title")), F.lit("  · "), F.col("message_count").cast("string"), F.lit(" msgs")).alias("line"))
+    return head.union(middle).union(leaves)
+
+
+def tree_text(lines: DataFrame) -> Iterator[str]:
+    """The tree's lines in order, streamed partition by partition."""
+    for r in lines.orderBy("repo", F.col("worktree").asc_nulls_first(), "rank").toLocalIterator():
+        yield r.line
 
 
 def resume_command(sessions: DataFrame, command: str = RESUME) -> DataFrame:

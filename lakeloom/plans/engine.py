@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +154,10 @@ class Engine:
     def tree(self, contains: str | None = None) -> DataFrame:
         return ss.topology(self.store.sessions(), self.store.table("worktrees"), contains)
 
+    def tree_text(self, contains: str | None = None) -> Iterator[str]:
+        """The tree as lines of text."""
+        return ss.tree_text(ss.tree_lines(self.store.sessions(), self.store.table("worktrees"), contains))
+
     def name(self, prefix: str, alias: str, now_ms: int | None = None) -> None:
         self.store.set_alias(ss.resolve(self.store.sessions(), prefix), alias, now_ms)
 
@@ -168,10 +174,15 @@ class Engine:
 
 
 def to_json(rows: DataFrame) -> str:
-    """A bounded result as one JSON array, fields in the order of the columns."""
+    """A bounded result as one JSON array, fields in the order of the columns; rows without a bound go to write_json()."""
     return "[" + ",".join(rows.toJSON().collect()) + "]"
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """Any number of rows as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
 def hits_text(hits: DataFrame) -> str:
     """Search results as numbered lines; a bounded result is collected."""
     return "\n".join(f"{r.pos}. [{r.project}] {r.title or '(untitled)'} · {r.session_id}\n    {r.snippet}" for r in hits.orderBy("pos").collect())

@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 # SQL that several oracles share.
-_FOLD = f"translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}')"
+_FOLD = "translate(lower(text), 'éèêçóíñäöüáàâîôûúëïãõåýìòùÿ', 'eeecoinaouaaaiouueiaoayiouy')"  # the accents that the tables have
 _TOKENS = rf"regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}]+')"
 _COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -110,50 +110,9 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_doc.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("df"), F.min("p").cast("long").alias("first_pos"))
 
 
-@query("SELECT doc_id, problem FROM (SELECT 0::BIGINT AS doc_id, 'orphan' AS problem) WHERE false")
-def index_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return s.index_problems(s.postings(docs, "doc_id"), docs, "doc_id")
-
-
-# ---- sessions as aggregates
-
-
-@query("""
-SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS message_count, arg_min(role, turn) AS first_role, bool_or(role = 'system') AS has_system,
-  string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id""")
-def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("message_count"), F.min_by("role", "turn").alias("first_role"), F.bool_or(F.col("role") == "system").alias("has_system"), roles)
-
-
-@query("""
-SELECT user_id, coalesce(arg_max(props, ts) FILTER (WHERE event_type = 'purchase'), arg_max(props, ts) FILTER (WHERE event_type = 'click'), '') AS title FROM events GROUP BY user_id""")
-def last_title_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = lambda kind: F.max_by(F.when(F.col("event_type") == kind, F.col("props")), F.when(F.col("event_type") == kind, F.col("ts")))
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(last("purchase"), last("click"), F.lit("")).alias("title"))
-
-
-@query("SELECT user_id, arg_min(value, ts) FILTER (WHERE value > 50) AS first_value FROM events GROUP BY user_id")
-def first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("value") > 50
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by(F.when(at, F.col("value")), F.when(at, F.col("ts"))).alias("first_value"))
-
-
 # ---- prompts, prose, lookup
 
 
-@query(r"""
-WITH f AS (SELECT conv_id, min(turn) AS first_turn, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id, turn, text, n AS message_count FROM conversations JOIN f USING (conv_id)
-WHERE role = 'user' AND text <> '' AND NOT starts_with(text, '<') AND NOT starts_with(text, '/') AND NOT starts_with(text, '[')""")
-def prose_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations")
-    t = F.col("text")
-    own = c.filter((F.col("role") == "user") & (t != "") & ~t.startswith("<") & ~t.startswith("/") & ~t.startswith("["))
-    return own.join(c.groupBy("conv_id").agg(F.count("*").alias("message_count")), "conv_id").select("conv_id", "turn", "text", "message_count")
-
-
 @query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text <> '' AND NOT starts_with(text, '<') AND NOT starts_with(text, '/')")
 def own_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations").withColumns({"text_for_fts": F.col("text"), "rec_type": F.col("role"), "first_kind": F.lit("text")})
@@ -173,16 +132,6 @@ def anti_unlabeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.pending(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), _table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query(f"""
-WITH t AS (SELECT DISTINCT conv_id FROM conversations WHERE list_contains({_TOKENS}, 'thing') OR list_contains({_TOKENS}, 'thble'))
-SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE conv_id IN (SELECT conv_id FROM t)""")
-def semi_topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations")
-    has = lambda term: c.filter(F.array_contains(tx.tokens(F.col("text")), term)).select("conv_id")
-    topic = has("thing").union(has("thble")).distinct()
-    return c.join(topic, "conv_id", "left_semi").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
-
-
 @query("""
 SELECT 'lineitem' AS child, count(*) AS rows FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
 UNION ALL SELECT 'orders', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
@@ -248,26 +197,6 @@ def transcript_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- trees
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.withColumns({"repo": F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), "worktree": F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]+)", 1), F.lit(""))})
-
-
-_PATHS = r"WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS repo, nullif(regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1), '') AS worktree FROM pages)"
-
-
-@query(f"{_PATHS} SELECT repo, worktree, count(*) AS session_count, min(page_id) AS first_page, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS page_ids FROM p GROUP BY repo, worktree")
-def topology_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("page_ids")
-    return _paths(spark, sf_dir).groupBy("repo", "worktree").agg(F.count("*").alias("session_count"), F.min("page_id").alias("first_page"), ids)
-
-
-@query(f"{_PATHS} SELECT page_id, repo, worktree FROM p WHERE contains(lower(concat_ws(' ', repo, coalesce(worktree, ''), url)), 'thth')")
-def topology_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.lower(F.concat_ws(" ", "repo", F.coalesce("worktree", F.lit("")), "url"))
-    return _paths(spark, sf_dir).filter(F.contains(whole, F.lit("thth"))).select("page_id", "repo", "worktree")
-
-
 @query(r"""
 WITH s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/w/' || (page_id % 7) || '/.claude/worktrees/t' || (page_id % 5) || '/x' WHEN page_id % 11 = 0 THEN NULL ELSE '/w/' || (page_id % 7) END AS cwd,
   CASE WHEN page_id % 4 = 0 THEN '/r/' || (page_id % 2) END AS orig FROM pages),
@@ -419,30 +348,6 @@ def consolidate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.consolidate(_table(spark, sf_dir, "documents").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("rule")))
 
 
-# ---- JSON
-
-
-@query("""
-SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN props->>'$.k' END AS k_text,
-  CASE event_type WHEN 'error' THEN 'boundary' WHEN 'signup' THEN 'title' ELSE 'message' END AS kind FROM events""")
-def json_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").withColumn("j", F.try_parse_json("props"))
-    kind = F.schema_of_variant(F.try_variant_get("j", "$.k", "variant"))
-    return e.select(
-        "event_id", F.when(kind == "BIGINT", F.try_variant_get("j", "$.k", "bigint")).alias("k"), F.when(kind == "STRING", F.try_variant_get("j", "$.k", "string")).alias("k_text"),
-        F.when(F.col("event_type") == "error", "boundary").when(F.col("event_type") == "signup", "title").otherwise("message").alias("kind"),
-    )
-
-
-@query("SELECT c_custkey, c_mktsegment || ' ' || c_name AS leaves FROM customer")
-def json_scalar_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer").withColumn("j", F.to_json(F.struct("c_name", "c_mktsegment", "c_nationkey")))
-    # a flat object: its string members by sorted key
-    raw = F.from_json("j", "map<string,string>")
-    typed = F.filter(F.array_sort(F.map_entries(raw)), lambda e: F.contains(F.col("j"), F.concat(F.lit('"'), e.key, F.lit('":"'))))
-    return c.select("c_custkey", F.array_join(F.transform(typed, lambda e: e.value), " ").alias("leaves"))
-
-
 @query(f"SELECT doc_id, CASE WHEN length({_COLLAPSED}) <= 140 THEN {_COLLAPSED} ELSE '…' || left({_COLLAPSED}, 140) || '…' END AS snippet FROM documents")
 def snippet_140(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", tx.excerpt(F.col("text")).alias("snippet"))
@@ -479,11 +384,5 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(old, new, ["o_custkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query(r"""SELECT page_id, url, trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
-def strip_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)>|<[^>]*>", " ")
-    return _table(spark, sf_dir, "pages").select("page_id", "url", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_search_body(spark, sf_dir)

@@ -24,7 +24,7 @@ from .transcripts import BOUNDARY, MESSAGE, RECORD, WORKTREE, discover, read_rec
 
 SCHEMA_VERSION = 2
 SCHEMAS = {
-    "file_manifest": "session_key string, source_kind string, mtime_ms long, size long, parser_version int, scan_started_at long, scan_finished_at long",
+    "file_manifest": "session_key string, source_kind string, mtime_us long, size long, parser_version int, scan_started_at long, scan_finished_at long",
     "sessions": "session_key string, session_id string, source_kind string, project_path string, project_name string, first_ts long, last_ts long, ai_title string, custom_title string, message_count long, has_compaction boolean, indexed_messages long, indexed_tokens long, ai_terms array<string>, custom_terms array<string>, indexed_at long",
     "messages": "session_key string, line_no int, uuid string, parent_uuid string, rec_type string, subtype string, role string, ts long, cwd string, is_sidechain boolean, is_compact_summary boolean, blocks_json string, first_kind string, text_for_fts string",
     "boundaries": "session_key string, line_no int, uuid string, parent_uuid string, logical_parent_uuid string, trigger string, pre_tokens long, post_tokens long, ts long",
@@ -55,6 +55,26 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
+    def migrate(self) -> list[int]:
+        """Take over what an older version's tables hold and a refresh can't make again: the aliases. The versions found.
+
+        Everything else is read from the files anew by the next refresh. Safe to call on every open.
+        """
+        found = []
+        for version in range(1, SCHEMA_VERSION):
+            old, done = f"{self.root}/v{version}/aliases", f"{self.root}/v{version}/taken-over"
+            if not self._there(f"{self.root}/v{version}"):
+                continue
+            found.append(version)
+            if self._there(done):
+                continue
+            if self._there(old):
+                rows = self.spark.read.schema("session_key string, alias string, set_at long").parquet(old)
+                rows.select("session_key", "alias", stem_all(tokens(F.col("alias"))).alias("terms"), "set_at").coalesce(1).write.mode("append").parquet(self._path("aliases"))
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(done)
+            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(p)
+        return found
+
     # ---- tables
 
     def _path(self, name: str) -> str:
@@ -79,10 +99,13 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
-    def _exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+    def _there(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
+    def _exists(self, name: str) -> bool:
+        return self._there(self._path(name))
+
     def _replace(self, name: str, fresh: DataFrame | None, changed: DataFrame, touched: list[int]) -> None:
         """In the touched buckets: drop the rows of changed files, add the fresh ones, empty what has none left."""
         columns = StructType.fromDDL(SCHEMAS[name]).names
@@ -119,15 +142,15 @@ class Store:
         return self.refresh_files(discover(self.spark, projects_root), incremental, now_ms, prune_missing)
 
     def refresh_files(self, files: DataFrame, incremental: bool = True, now_ms: int | None = None, prune_missing: bool = False) -> RefreshStats:
-        """refresh() of files (session_key, mtime_ms, size, content), wherever they come from.
+        """refresh() of files (session_key, mtime_us, size, content), wherever they come from.
 
         The records are staged by kind, so each table reads its own only; the tables are written side by side, the
         manifest last.
         """
         now = int(time.time() * 1000) if now_ms is None else now_ms
-        listing = files.select("session_key", "mtime_ms", "size")
+        listing = files.select("session_key", "mtime_us", "size")
         known = self.table("file_manifest")
-        todo = listing.join(known, ["session_key", "mtime_ms", "size"], "left_anti") if incremental else listing
+        todo = listing.join(known, ["session_key", "mtime_us", "size"], "left_anti") if incremental else listing
         gone = known.select("session_key").join(listing, "session_key", "left_anti") if prune_missing else None
         seen = listing.count()
         staged = f"{self.root}/records-{uuid.uuid4().hex}"
@@ -167,7 +190,7 @@ class Store:
             for done in [pool.submit(self._replace, name, rows, changed, touched) for name, rows in tables.items()]:
                 done.result()
         first = known.select("session_key", F.col("scan_started_at").alias("first_scan"))
-        manifest = fresh.join(first, "session_key", "left").select("session_key", F.lit("main").alias("source_kind"), "mtime_ms", "size", F.lit(SCHEMA_VERSION).alias("parser_version"), F.coalesce("first_scan", F.lit(now)).alias("scan_started_at"), F.lit(now).alias("scan_finished_at"))
+        manifest = fresh.join(first, "session_key", "left").select("session_key", F.lit("main").alias("source_kind"), "mtime_us", "size", F.lit(SCHEMA_VERSION).alias("parser_version"), F.coalesce("first_scan", F.lit(now)).alias("scan_started_at"), F.lit(now).alias("scan_finished_at"))
         self._replace("file_manifest", manifest, changed, touched)
 
     # ---- titles and sessions

@@ -26,7 +26,7 @@ SKIPPED_TYPES = frozenset("agent-name last-prompt permission-mode mode pr-link f
 RFC3339 = re.compile(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)")
 
 RECORD = (
-    "session_key string, mtime_ms long, size long, line_no int, kind string, reason string, uuid string, parent_uuid string, rec_type string, subtype string, role string, ts long, cwd string, "
+    "session_key string, mtime_us long, size long, line_no int, kind string, reason string, uuid string, parent_uuid string, rec_type string, subtype string, role string, ts long, cwd string, "
     "is_sidechain boolean, is_compact_summary boolean, blocks_json string, first_kind string, text_for_fts string, logical_parent_uuid string, trigger string, pre_tokens long, post_tokens long, "
     "original_cwd string, worktree_path string, worktree_name string, branch string, original_branch string, original_head string, continues_session_id string, evidence string, last_sequence long, title string, n_tokens int"
 )
@@ -126,8 +126,8 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "session_key string, mtime_ms long, size long, content binary")
-    return files.select(F.col("path").alias("session_key"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), "content")
+        return spark.createDataFrame([], "session_key string, mtime_us long, size long, content binary")
+    return files.select(F.col("path").alias("session_key"), F.unix_micros("modificationTime").alias("mtime_us"), F.col("length").alias("size"), "content")
 
 
 def read_records(files: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def read_records(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, mtime, size, content in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                base, rows = {"session_key": key, "mtime_ms": mtime, "size": size}, []
+                base, rows = {"session_key": key, "mtime_us": mtime, "size": size}, []
                 for r in parse_lines(content):
                     rows.append(base | r)
                     if len(rows) == 5000:
@@ -145,7 +145,7 @@ def read_records(files: DataFrame) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist([*rows, base | {"kind": "empty", "line_no": 0}], kinds)
 
-    return files.select("session_key", "mtime_ms", "size", "content").mapInArrow(run, RECORD)
+    return files.select("session_key", "mtime_us", "size", "content").mapInArrow(run, RECORD)
 
 
 def session_id_of(path):
@@ -158,7 +158,7 @@ def sessions_of(records: DataFrame) -> DataFrame:
     pick = lambda cond, value, by=F.max_by: by(F.when(cond, value), F.when(cond, F.col("line_no")))
     cwd = message & F.col("cwd").isNotNull()
     out = records.groupBy("session_key").agg(
-        F.max("mtime_ms").alias("mtime_ms"),
+        F.max("mtime_us").alias("mtime_us"),
         F.max("size").alias("size"),
         F.min(F.when(message | boundary, F.col("ts"))).alias("first_ts"),
         F.max(F.when(message | boundary, F.col("ts"))).alias("last_ts"),

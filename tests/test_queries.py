@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import lakeloom.plans.stored  # noqa: F401  registers its queries
 from lakeloom.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
