@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
@@ -89,6 +90,46 @@ def similar(vectors: DataFrame, query: Column, limit: int, key: str, vec: str =
     return with_position(rows, limit, F.col("score").desc(), F.col(key)).select("pos", key, "score")
 
 
+def similar_many(vectors: DataFrame, queries: DataFrame, limit: int, key: str, vec: str = "vec", digits: int = 6, block: int = 4096) -> DataFrame:
+    """(query, pos, key, score) of the rows nearest to each of many query vectors (query, vec), in blocks of queries against all rows.
+
+    A block is a bounded broadcast; a task keeps its `limit` best rows of each query, so only those are exchanged.
+    """
+    out, held = None, []
+
+    def one(ids: list, matrix: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in ids]
+            for b in batches:
+                keys = b.column(0).to_pylist()
+                scores = np.round(q @ np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1).T, digits) if keys else np.zeros((len(ids), 0))
+                for k, row in enumerate(scores):
+                    all_, names = np.r_[best[k][0], row], best[k][1] + keys
+                    order = sorted(range(len(names)), key=lambda i: (-all_[i], names[i]))[:limit] if len(names) <= 4 * limit else None
+                    if order is None:
+                        least = np.partition(all_, len(all_) - limit)[len(all_) - limit]
+                        order = sorted(np.flatnonzero(all_ >= least).tolist(), key=lambda i: (-all_[i], names[i]))[:limit]
+                    best[k] = (all_[order], [names[i] for i in order])
+            rows = [(i, n, float(x)) for i, (xs, ns) in zip(ids, best, strict=True) for x, n in zip(xs, ns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", key, "score"])
+
+        return vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).mapInArrow(run, f"query long, {key} long, score double")
+
+    for r in queries.select(F.col("query").cast("long"), F.col("vec").cast("array<double>")).orderBy("query").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            part = one([x[0] for x in held], np.array([x[1] for x in held]))
+            out, held = part if out is None else out.union(part), []
+    if held or out is None:
+        part = one([x[0] for x in held], np.array([x[1] for x in held]).reshape(len(held), -1))
+        out = part if out is None else out.union(part)
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key))
+    return out.withColumn("pos", F.row_number().over(order).cast("long")).filter(F.col("pos") <= limit).select("query", "pos", key, "score")
+
+
 def best_chunk(vectors: DataFrame, query: Column, session: str, chunk: str, vec: str = "vec", digits: int = 6) -> DataFrame:
     """(session, chunk, score): each session's nearest chunk, the first of equals."""
     rows = vectors.select(session, chunk, F.round(dot(F.col(vec), query), digits).alias("score"))

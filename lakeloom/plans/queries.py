@@ -242,6 +242,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.similar(e.crossJoin(_query_vector(e)), F.col("q"), 20, "vec_id", "embedding")
 
 
+@query("""WITH d AS (SELECT q.vec_id AS query, e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS pos, vec_id, score FROM d) SELECT * FROM r WHERE pos <= 20""")
+def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are all rows whose id is divisible by 50."""
+    e = _table(spark, sf_dir, "embeddings")
+    return v.similar_many(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")), 20, "vec_id", "embedding")
+
+
 @query(f"WITH d AS ({_DOT}) SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM d) WHERE k = 1")
 def best_chunk_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
