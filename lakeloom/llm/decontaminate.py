@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, freeing, materialize
 
 Q, RATE = 8, 0.1
 #: Bytes of benchmark text in each block, of document text in each piece, and of text compared in one batch of alignments.
@@ -133,6 +133,7 @@ class QGramIndex:
         self.items = [np.frombuffer(normal(t), np.uint8) for _, t in items]
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.array([edit_budget(n, q, rate) for n in self.sizes.tolist()], np.int64)
+        self.reach = int((self.sizes + 2 * self.budget).max(initial=0)) + 2
         self.least = self.sizes - q + 1 - self.budget * q
         self.short = [(k, x.tobytes()) for k, x in enumerate(self.items) if 0 < len(x) < q]
         codes = [self.codes(x) for x in self.items]
@@ -174,10 +175,11 @@ class QGramIndex:
 
     def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, lowest diagonal, highest diagonal) of every band that reaches its item's bound."""
-        reach = int((self.sizes + 2 * self.budget).max(initial=0)) + 2
-        found = []
         at, k = self._shared(text)
-        total = np.cumsum(self.count[k]) if len(at) else at
+        total = np.cumsum(self.count[k])
+        if not len(at) or total[-1] <= ENTRIES:
+            return self._bands(at, k, len(text), 0, len(self.ids))
+        reach, found = self.reach, []
         start = 0
         while start < len(at):
             # a piece: places up to a bound of pairs, but never less than twice an item's reach, the last reach of it again in the next
@@ -191,8 +193,6 @@ class QGramIndex:
             if end >= len(at):
                 break
             start = max(start + 1, int(np.searchsorted(at, at[end - 1] - reach)))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
         item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
         bands = np.unique(np.stack([item, low, high], axis=1), axis=0)
         return bands[:, 0], bands[:, 1], bands[:, 2]
@@ -231,10 +231,9 @@ class QGramIndex:
 
     def _pieces(self, text: bytes) -> Iterator[tuple[int, bytes]]:
         """(start, piece): pieces of TEXT_BYTES that overlap by what an item can reach."""
-        reach = int((self.sizes + 2 * self.budget).max(initial=0)) + 2
-        step = max(TEXT_BYTES, 2 * reach)
-        for at in range(0, max(len(text) - reach, 1), step):
-            yield at, text[at : at + step + reach]
+        step = max(TEXT_BYTES, 2 * self.reach)
+        for at in range(0, max(len(text) - self.reach, 1), step):
+            yield at, text[at : at + step + self.reach]
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) in the normal text: of each item that occurs, its best place."""
@@ -271,10 +270,16 @@ class QGramIndex:
         for _, piece in self._pieces(text):
             raw = np.frombuffer(piece, np.uint8)
             items, low, high = self.candidates(raw)
+            budget = self.budget[items]
+            if len(items) <= 8:
+                for k, a, b, most in zip(items.tolist(), low.tolist(), high.tolist(), budget.tolist(), strict=True):
+                    item = self.items[k]
+                    if piece.find(item.tobytes(), max(0, a - most), max(0, b + most + len(item))) >= 0 or banded_distance(item, raw, a - most, b + most, most)[0] <= most:
+                        return True
+                continue
             for at in range(0, len(items), 512):
-                k = items[at : at + 512]
-                budget = self.budget[k]
-                if (least_edits([self.items[x] for x in k.tolist()], raw, low[at : at + 512] - budget, high[at : at + 512] + budget, budget) <= budget).any():
+                part = slice(at, at + 512)
+                if (least_edits([self.items[x] for x in items[part].tolist()], raw, (low - budget)[part], (high + budget)[part], budget[part]) <= budget[part]).any():
                     return True
         return False
 
@@ -308,7 +313,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 found = [(i, index.ids[k], e, s, z) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, e, s, z in index.matches(normal(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(5)], ["doc_id", "item_id", "edits", "start", "end"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+        part = rows.mapInArrow(freeing(run), "doc_id long, item_id long, edits long, start long, end long")
         if only:
             return part
         found.append(materialize(part, "leaks"))
@@ -327,7 +332,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             for b in batches:
                 yield b.filter(pa.array([not index.holds(normal(t)) for t in b.column(text).to_pylist()], pa.bool_()))
 
-        part = left.mapInArrow(run, docs.schema)
+        part = left.mapInArrow(freeing(run), docs.schema)
         if only:
             return part
         new = materialize(part, "clean")
