@@ -28,10 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 CAPACITY, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 BLOCK_TOKENS, GRAIN = 1 << 19, 512
-#: Bounds of the cache from a text's space-separated strings to their ids.
-CACHE_ITEMS, CACHE_CHARS = 800_000, 64
+#: Bounds of the cache, in memory and by string, from a text's space-separated strings to their ids.
+CACHE_BYTES, CACHE_CHARS = 64 << 20, 64
+#: What an entry of the cache takes besides its characters and ids.
+ENTRY_BYTES = 190
 
 
 #: Fixed values of the vocabulary's file: the suffix of a word's last token, and marks that are parted from letters.
@@ -59,7 +63,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -93,8 +97,9 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        if len(known) > CACHE_ITEMS:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         # lower case comes first here as it does in the vocabulary's rules, but for letters whose case has context
         split = [(t if "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(known)
@@ -104,6 +109,8 @@ class WordTokenizer:
         for w in new:
             if len(w) > CACHE_CHARS:
                 known.pop(w, None)
+            else:
+                self.held += ENTRY_BYTES + len(w) + len(known[w])
         return out
 
 
@@ -241,4 +248,4 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
             yield out()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), PIECES + ", ids array<int>" * with_ids)

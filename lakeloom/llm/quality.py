@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_result
+from .common import freeing, materialize, only_result
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 FEATURES, RIDGE, SEED, BINS, THRESHOLD = 384, 1e-3, 7, 2000, 0.3
@@ -65,7 +65,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "stats"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, stats binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, stats binary")
 
 
 def fold(doc_id: str = "doc_id"):
@@ -193,7 +193,7 @@ def scored(stats: DataFrame, model: QualityModel) -> DataFrame:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, STATISTICS).astype(float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double").select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score")
+    return stats.mapInArrow(freeing(run), "doc_id long, score double").select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,4 +209,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 x = np.stack([statistics(t) for t in b.column("text").to_pylist()]).astype(float)
                 yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
