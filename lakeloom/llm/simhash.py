@@ -27,18 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_result, unused
+from .common import freeing, materialize, only_result, unused
 from .graph import connected_components
 
 SEED = 42
 #: Runs longer than this leave a spanning forest.
-LONG_RUN = 64
+LONG_RUN = 8
 #: Up to so many distinct shingles a text is brought together with others by the set itself.
 FEW = 64
 #: Rows of an anchor in one group; of more, blocks of rows meet in pairs. Anchors are counted on one node in SAMPLE.
 GROUP_ROWS, GROUP_SETS, SAMPLE = 500_000, 50_000, 100
 #: Shingles compared in one group; larger groups are split likewise.
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 1_000_000
 #: Words of a set's fingerprint, bits of each anchor's block, blocks, and words that decide whether two meet.
 SET_WORDS, SET_BITS, SET_BLOCKS, SEEN = 16, 22, 93, 2
 BEYOND = 1 << 62
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str
             fp = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp0"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp0 long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, fp0 long")
 
 
 def set_prints(rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -105,7 +105,7 @@ def set_prints(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True))], ["doc_id", "k0", "k1", "size", "wide", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id long, k0 long, k1 long, size long, wide binary, shingles binary")
+    return rows.mapInArrow(freeing(run), "doc_id long, k0 long, k1 long, size long, wide binary, shingles binary")
 
 
 class HammingCover:
@@ -246,7 +246,8 @@ def split_hot(replicate: Callable[[DataFrame], DataFrame], nodes: DataFrame, lim
         met = out.join(hot, "anchor", "left").select("anchor", *more, "_blocks", block.alias("_block"), other)
         group = F.when(F.col("_blocks").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("_block", "_other"), F.greatest("_block", "_other")))
         out = met.select(group.alias("anchor"), *more)
-    return out.repartition("anchor").sortWithinPartitions("anchor")
+    # the smallest node of a run starts first, so forests of different anchors have links in common
+    return out.repartition("anchor").sortWithinPartitions("anchor", "node")
 
 
 def spread(prints: DataFrame, count: int, blocks: int, near: int) -> DataFrame:
@@ -269,7 +270,7 @@ def spread(prints: DataFrame, count: int, blocks: int, near: int) -> DataFrame:
                     key = (anchor << np.uint64(8) | np.uint64(k)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[rows]), pa.array(home), *(pa.array(x[rows].view(np.int64)) for x in fps)], ["anchor", "node", "home", *words])
 
-    return prints.select("node", *words).mapInArrow(replicate, ", ".join(["anchor long", "node long", "home boolean", *(f"{w} long" for w in words)]))
+    return prints.select("node", *words).mapInArrow(freeing(replicate), ", ".join(["anchor long", "node long", "home boolean", *(f"{w} long" for w in words)]))
 
 
 def spread_wide(prints: DataFrame) -> DataFrame:
@@ -292,7 +293,7 @@ def spread_wide(prints: DataFrame) -> DataFrame:
                 words = [np.repeat(x, SET_BLOCKS) for x in wide.view(np.int64)[:, :SEEN].T]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.ravel().view(np.int64)), pa.array(np.repeat(node, SET_BLOCKS)), pa.array(np.ones(anchor.size, bool)), *map(pa.array, words)], ["anchor", "node", "home", *(f"fp{k}" for k in range(SEEN))])
 
-    return prints.select("node", "wide").mapInArrow(replicate, "anchor long, node long, home boolean" + "".join(f", fp{k} long" for k in range(SEEN)))
+    return prints.select("node", "wide").mapInArrow(freeing(replicate), "anchor long, node long, home boolean" + "".join(f", fp{k} long" for k in range(SEEN)))
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -352,7 +353,7 @@ def anchor_links(rows: DataFrame, most: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(freeing(compare), "a long, b long")
 
 
 def prefix(size: int, similarity: float) -> int:
@@ -382,7 +383,7 @@ def spread_sets(sets: DataFrame, similarity: float) -> DataFrame:
                     taken = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(key), taken.column(0), pa.array(np.full(len(rows), up == 0)), taken.column(1)], ["anchor", "node", "home", "shingles"])
 
-    return sets.select("node", "shingles").mapInArrow(replicate, "anchor long, node long, home boolean, shingles binary")
+    return sets.select("node", "shingles").mapInArrow(freeing(replicate), "anchor long, node long, home boolean, shingles binary")
 
 
 def _set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -416,7 +417,7 @@ def set_links(rows: DataFrame, similarity: float) -> DataFrame:
                     b += [s + y for y in to]
             yield pa.RecordBatch.from_arrays([pa.array(node[np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(freeing(compare), "a long, b long")
 
 
 def verified_links(rows: DataFrame, first: DataFrame, proposed: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -431,7 +432,7 @@ def verified_links(rows: DataFrame, first: DataFrame, proposed: DataFrame, words
     texts = rows.join(members.join(large, "component", "left").withColumnRenamed("node", "doc_id"), "doc_id")
     block = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("blocks", F.lit(1))).cast("int")
     met = texts.select("doc_id", "text", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))).alias("other"))
-    groups = met.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("anchor"), "doc_id", "text").repartition("anchor").sortWithinPartitions("anchor")
+    groups = met.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("anchor"), "doc_id", "text").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, [], {})
@@ -459,7 +460,7 @@ def verified_links(rows: DataFrame, first: DataFrame, proposed: DataFrame, words
         close()
         yield taken()
 
-    return groups.mapInArrow(compare, "a long, b long").filter("a != b")
+    return groups.mapInArrow(freeing(compare), "a long, b long").filter("a != b")
 
 
 def row_id(doc_id: str, text: str) -> Column:
