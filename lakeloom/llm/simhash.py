@@ -227,7 +227,7 @@ def _links(fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.
         keep = a != b
         return a[keep], b[keep]
     near = lambda part: (_distance(fp[part, None], fp[None, :]) <= most) & (home[part, None] | home[None, :])
-    from_, to = _forest(n, near, max(1, (1 << 22) // n))
+    from_, to = _forest(n, near, max(1, (1 << 20) // n))
     return np.array(from_, np.int64), np.array(to, np.int64)
 
 
