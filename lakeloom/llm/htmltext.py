@@ -209,8 +209,8 @@ def main_parts(root: Node) -> list[Node | str]:
     """The parts of the main text, in page order."""
     _, body = score(root)
     core = _core(body)
-    if core is None:
-        return []
+    if core is None:  # too short for any density: what is no link
+        return [body] if body.chars > body.link_chars else []
     parts: list[Node | str] = [core]
     threshold, up = core.density, core.parent if core is not body else None
     while up is not None and up is not body and up.parent is not None:
