@@ -70,9 +70,19 @@ def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return wrapped
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again; survives lost executors."""
+#: Rows of an intermediate file, and files of a table of few rows.
+FILE_ROWS, LEAST_FILES = 100_000, 8
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again; survives lost executors.
+
+    rows: a bound of the table's rows, where one is known. It is written in as many files as these need, not in one for
+    each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)

@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step joins the edges with the smallest neighbour of each node; neither a node's neighbours nor a
-component is ever gathered in one place. Each round is written to the shared folder. Before the first round, each
-node's edges to smaller ones are hung on the smallest of these in one sorted pass, which leaves few edges where many
-say the same.
+component is ever gathered in one place. Each round is written to the shared folder, in as many files as the edges of
+the round before need, as a round makes no more. Before the first round, each node's edges to smaller ones are hung on
+the smallest of these in one sorted pass, which leaves few edges where many say the same.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     x, y = F.col(a), F.col(b)
     now = materialize(edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
-    before, now = now, materialize(_contracted(now), "edges")
+    before, now = now, materialize(_contracted(now), "edges", now.count())
     drop_table(before)
     mark = None
     while True:
@@ -46,5 +46,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state[0] == 0 or state == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark, before = state, now
-        now = materialize(_star(_star(before, True), False), "edges")
+        now = materialize(_star(_star(before, True), False), "edges", state[0])
         drop_table(before)

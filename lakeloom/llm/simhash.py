@@ -426,7 +426,7 @@ def verified_links(rows: DataFrame, first: DataFrame, proposed: DataFrame, words
     rows: (doc_id, text); first: (node, size). Each text goes once to its group, so nothing is sent for each pair. A group
     of more than GROUP_SHINGLES is compared by pairs of its blocks.
     """
-    members = materialize(connected_components(proposed), "members")
+    members = materialize(connected_components(proposed), "members", first.count())
     weight = members.join(first.groupBy("node").agg(F.sum("size").alias("size")), "node").groupBy("component").agg(F.sum("size").alias("size"))
     large = weight.filter(F.col("size") > GROUP_SHINGLES).select("component", F.ceil(F.col("size") * 2 / GROUP_SHINGLES).cast("int").alias("blocks"))
     texts = rows.join(members.join(large, "component", "left").withColumnRenamed("node", "doc_id"), "doc_id")
@@ -471,7 +471,7 @@ def row_id(doc_id: str, text: str) -> Column:
 def _with_components(prints: DataFrame, first: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     """(doc_id, by, component_id) of every row of prints, itself materialized; component_id is its component's smallest id."""
     with only_result(prints.sparkSession) as keep:
-        known = materialize(first.join(connected_components(links), "node", "left").select(*by, F.coalesce("component", "node").alias("component_id")), "known")
+        known = materialize(first.join(connected_components(links), "node", "left").select(*by, F.coalesce("component", "node").alias("component_id")), "known", first.count())
         keep.append(known)
     return prints.select("doc_id", *by).join(known, by)
 
@@ -485,7 +485,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most: int = 3, blocks: int
     """
     rows = docs.select(row_id(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(fingerprints(rows, words), "prints")
-    first = materialize(prints.groupBy("fp0").agg(F.min("doc_id").alias("node")), "first")
+    first = materialize(prints.groupBy("fp0").agg(F.min("doc_id").alias("node")), "first", prints.count())
     links = anchor_links(split_hot(lambda d: spread(d, 1, blocks, most // blocks), first, GROUP_ROWS), most)
     null = lambda c: F.when(F.col(c) < BEYOND, F.col(c))
     return _with_components(prints, first, links, ["fp0"]).select(null("doc_id").alias("doc_id"), F.col("fp0").alias("fp"), null("component_id").alias("component_id"))
@@ -509,7 +509,7 @@ def similar_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     by = ["k0", "k1"]
     mean, deviation = bits_at(similarity, 64 * SEEN)
     prints = materialize(set_prints(rows, words, similarity), "prints")
-    first = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("node"), F.min("size").alias("size"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")), "first")
+    first = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("node"), F.min("size").alias("size"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")), "first", prints.count())
     short = set_links(split_hot(lambda d: spread_sets(d, similarity), first.filter("shingles is not null").select("node", "shingles"), GROUP_SETS), similarity)
     proposed = anchor_links(split_hot(spread_wide, first.filter("wide is not null").select("node", "wide"), GROUP_ROWS), math.floor(mean + 4 * deviation))
     links = short.union(verified_links(rows, first, proposed, words, similarity))
