@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, graph, htmltext, langid, media, packing, quality, simhash, substrings
+from lakeloom.llm import chat, common, decontaminate, graph, htmltext, langid, media, packing, quality, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -335,6 +335,33 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_random_forest(spark):
+    """Against one pass of union-find, with more files of edges than rounds write."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1800)]
+    root = list(range(3000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(24)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("rows, files", [(0, 8), (5, 8), (12 * common.FILE_ROWS, 12), (None, 40)])
+def test_few_rows_in_few_files(spark, rows, files):
+    """As many files as the bound of rows needs; every row is there."""
+    got = common.materialize(spark.range(0, 400, 1, 40), "few", rows)
+    assert len(got.inputFiles()) == files and sorted(r.id for r in got.collect()) == list(range(400))
+    common.drop_table(got)
+
+
 # ---- 6 language, 8 quality
 
 TONGUES = {"en": "the of and to in that is was it for on with as be at by this from".split(), "fr": "le de un être et à il avoir ne je son que se qui ce dans en du".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split()}
