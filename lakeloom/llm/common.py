@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.batches import freeing  # noqa: F401  its operators' own
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,20 +56,6 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives what its task freed back to the system: a worker waits for its next task with little memory."""
-
-    def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
-
-    return wrapped
-
-
 #: Rows of an intermediate file, and files of a table of few rows.
 FILE_ROWS, LEAST_FILES = 100_000, 8
 

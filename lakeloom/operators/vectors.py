@@ -8,13 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import freeing
 from ..functions.text import trim
 from .search import best_per_key, fuse, search, with_position
 
 CHUNK = 1200
+#: Scores that similar_many() holds at once in a task.
+CELLS = 1 << 20
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -90,33 +94,55 @@ def similar(vectors: DataFrame, query: Column, limit: int, key: str, vec: str =
     return with_position(rows, limit, F.col("score").desc(), F.col(key)).select("pos", key, "score")
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    sizes = pc.unique(pc.list_value_length(vectors))
+    if len(sizes) != 1 or sizes.null_count:
+        raise ValueError("vectors must be there, and of one length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _best(query: np.ndarray, keys: np.ndarray, scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's `limit` first rows by falling score, what isn't a number before all, then by key; in that order."""
+    order = np.lexsort((keys, -scores, ~np.isnan(scores), query))
+    q = query[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    kept = order[rank < limit]
+    return query[kept], keys[kept], scores[kept]
+
+
 def similar_many(vectors: DataFrame, queries: DataFrame, limit: int, key: str, vec: str = "vec", digits: int = 6, block: int = 4096) -> DataFrame:
     """(query, pos, key, score) of the rows nearest to each of many query vectors (query, vec), in blocks of queries against all rows.
 
-    A block is a bounded broadcast; a task keeps its `limit` best rows of each query, so only those are exchanged.
+    A block is a bounded broadcast; a task keeps its `limit` best rows of each query, so only those are exchanged. Rows
+    are scored in pieces, so that a task holds at most some CELLS scores at once.
     """
     out, held = None, []
+    block = max(1, min(block, CELLS // max(limit, 1)))
 
     def one(ids: list, matrix: np.ndarray) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in ids]
-            for b in batches:
-                keys = b.column(0).to_pylist()
-                scores = np.round(q @ np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1).T, digits) if keys else np.zeros((len(ids), 0))
-                for k, row in enumerate(scores):
-                    all_, names = np.r_[best[k][0], row], best[k][1] + keys
-                    order = sorted(range(len(names)), key=lambda i: (-all_[i], names[i]))[:limit] if len(names) <= 4 * limit else None
-                    if order is None:
-                        least = np.partition(all_, len(all_) - limit)[len(all_) - limit]
-                        order = sorted(np.flatnonzero(all_ >= least).tolist(), key=lambda i: (-all_[i], names[i]))[:limit]
-                    best[k] = (all_[order], [names[i] for i in order])
-            rows = [(i, n, float(x)) for i, (xs, ns) in zip(ids, best, strict=True) for x, n in zip(xs, ns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", key, "score"])
-
-        return vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).mapInArrow(run, f"query long, {key} long, score double")
+            query, keys, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the best rows so far, by query
+            least = np.full(len(ids), -np.inf)  # of queries that have `limit` rows
+            step = max(1, CELLS // max(len(ids), 1))
+            for p in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step) if len(ids)):
+                names, found = np.array(p.column(0).to_pylist(), np.int64), np.round(q @ _matrix(p.column(1)).T, digits)
+                near = ~(found < least[:, None])  # a comparison that keeps what isn't a number
+                if limit < found.shape[1]:
+                    near &= ~(found < np.partition(found, -limit, axis=1)[:, [-limit]])
+                at, row = np.nonzero(near)
+                if len(at):
+                    query, keys, scores = _best(np.r_[query, at], np.r_[keys, names[row]], np.r_[scores, found[at, row]], limit)
+                    last = np.flatnonzero(np.r_[query[1:] != query[:-1], True])
+                    full = last[np.diff(last, prepend=-1) == limit]
+                    least[query[full]] = scores[full]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[query]), pa.array(keys), pa.array(scores)], ["query", key, "score"])
+
+        return vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).mapInArrow(freeing(run), f"query long, {key} long, score double")
 
     for r in queries.select(F.col("query").cast("long"), F.col("vec").cast("array<double>")).orderBy("query").toLocalIterator():
         held.append(r)

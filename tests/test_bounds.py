@@ -1,0 +1,57 @@
+"""What a Python task holds follows from fixed bounds, not from the rows of a batch or table."""
+
+import json
+import tracemalloc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from lakeloom.functions import blocks
+from lakeloom.operators import search, vectors
+from lakeloom.sources import transcripts
+
+
+class Rows:
+    """Stands for a table: keeps the functions given to mapInArrow()."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.runs = spark, []
+
+    def select(self, *_):
+        return self
+
+    filter = select
+
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self.sparkSession.createDataFrame([], schema)
+
+
+def peak(f):
+    """MB that f() has at most, without Arrow's own, and its result."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_vector_search_holds_few_scores(spark):
+    rng = np.random.default_rng(3)
+    m = rng.integers(-3, 4, (6000, 8)) / 4.0  # many equal scores
+    m[4000] = np.nan
+    keys = rng.permutation(len(m))
+    queries = spark.createDataFrame([(i, m[i].tolist()) for i in range(1500)], "query long, vec array<double>")
+    rows = Rows(spark)
+    vectors.similar_many(rows, queries, 5, "k")
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 3000]), pa.array(list(m[a : a + 3000]), pa.list_(pa.float64()))], ["k", "v"]) for a in (0, 3000)]
+    mb, out = peak(lambda: list(rows.runs[0](iter(batches))))
+    assert len(rows.runs) == 1 and mb < 60  # a whole batch's scores alone are 36
+    got = [tuple(c[i].as_py() for c in b.columns) for b in out for i in range(b.num_rows)]
+    assert Counter(r[0] for r in got) == {i: 5 for i in range(1500)}
+    scores = np.round(m[:1500] @ m.T, 6)
+    for q in range(0, 1500, 50):
+        order = sorted(range(len(m)), key=lambda i: (0 if np.isnan(scores[q, i]) else 1, -scores[q, i] if scores[q, i] == scores[q, i] else 0, keys[i]))[:5]
+        assert {r[1] for r in got if r[0] == q} == {int(keys[i]) for i in order}
