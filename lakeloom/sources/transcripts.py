@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import PIECE, freeing, pieces
 from ..functions.blocks import attachment, compact_json, flatten, text_at
 from ..functions.text import basename, words
 
@@ -31,6 +33,8 @@ RECORD = (
     "original_cwd string, worktree_path string, worktree_name string, branch string, original_branch string, original_head string, continues_session_id string, evidence string, last_sequence long, title string, n_tokens int"
 )
 COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
+#: Bytes, about, of a record without its texts.
+ROW = 1000
 MESSAGE = ["uuid", "parent_uuid", "rec_type", "subtype", "role", "ts", "cwd", "is_sidechain", "is_compact_summary", "blocks_json", "first_kind", "text_for_fts"]
 BOUNDARY = ["uuid", "parent_uuid", "logical_parent_uuid", "trigger", "pre_tokens", "post_tokens", "ts"]
 WORKTREE = ["original_cwd", "worktree_path", "worktree_name", "branch", "original_branch", "original_head", "continues_session_id"]
@@ -105,9 +109,18 @@ def _strict(raw: str) -> Any:
     return value
 
 
+def _split(content: bytes) -> Iterator[bytes]:
+    """content.split() by lines, one at a time."""
+    at = 0
+    while (end := content.find(b"\n", at)) >= 0:
+        yield content[at:end]
+        at = end + 1
+    yield content[at:]
+
+
 def parse_lines(content: bytes) -> Iterator[dict]:
     """The records and skipped lines of a file, in order."""
-    for n, raw in enumerate(content.split(b"\n"), 1):
+    for n, raw in enumerate(_split(content), 1):
         try:
             text = raw.decode()
             if not text.strip():
@@ -131,21 +144,27 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_records(files: DataFrame) -> DataFrame:
-    """All records of these files; a file without any gives one row of kind `empty`."""
+    """All records of these files; a file without any gives one row of kind `empty`.
+
+    Files are taken, and records sent, in pieces of bounded bytes; a file of more bytes is taken by itself.
+    """
     kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, mtime, size, content in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                base, rows = {"session_key": key, "mtime_us": mtime, "size": size}, []
-                for r in parse_lines(content):
+        rows, held = [], 0
+        for part in (p for b in batches for p in pieces(b, 3)):
+            for key, mtime, size, content in zip(*part.columns, strict=True):
+                base = {"session_key": key.as_py(), "mtime_us": mtime.as_py(), "size": size.as_py()}
+                for r in chain(parse_lines(content.as_py()), [{"kind": "empty", "line_no": 0}]):
                     rows.append(base | r)
-                    if len(rows) == 5000:
+                    held += ROW + len(r.get("blocks_json") or "") + len(r.get("text_for_fts") or "")
+                    if held >= PIECE:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows = []
-                yield pa.RecordBatch.from_pylist([*rows, base | {"kind": "empty", "line_no": 0}], kinds)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.select("session_key", "mtime_us", "size", "content").mapInArrow(run, RECORD)
+    return files.select("session_key", "mtime_us", "size", "content").mapInArrow(freeing(run), RECORD)
 
 
 def session_id_of(path):
