@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import freeing, pieces
 from ..functions.stem import stem, stem_all
 from ..functions.text import spans, tokens, words
 
@@ -85,11 +86,16 @@ def _ranked(counted: DataFrame, stats: DataFrame, n: int, kept: list[str]) -> Da
 TERM_INDEX = "session_key string, term string, postings array<struct<line_no:int,role:string,length:int,positions:array<int>>>"
 
 
+#: Bytes, about, of the tokens whose stems a task keeps.
+VOCABULARY = 1 << 25
+
+
 class _Vocabulary(dict):
     """A token's number, that of its stem; terms are the stems by number."""
 
     def __init__(self):
         super().__init__()
+        self.held = 0
         self.terms: list[str] = []
         self.of: dict[str, int] = {}
 
@@ -99,21 +105,22 @@ class _Vocabulary(dict):
             self.of[term] = len(self.terms)
             self.terms.append(term)
         self[token] = self.of[term]
+        self.held += 300 + 2 * len(token)
         return self[token]
 
 
 def term_index(messages: DataFrame, text: str = "text_for_fts") -> DataFrame:
-    """Stemmed postings of messages (session_key, line_no, role, text): a row for each session and term of a batch.
+    """Stemmed postings of messages (session_key, line_no, role, text): a row for each session and term of a piece.
 
-    One pass without a shuffle. A posting holds its message's length and the term's places. Written sorted by term,
-    a query reads the row groups of its terms.
+    One pass without a shuffle, in pieces of bounded bytes; the vocabulary is bounded too. A posting holds its
+    message's length and the term's places. Written sorted by term, a query reads the row groups of its terms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary()
         offsets = lambda starts, n: pa.array(np.r_[starts, n].astype(np.int32))
-        for b in batches:
-            if len(vocabulary) > 500_000:
+        for b in (p for whole in batches for p in pieces(whole, 3)):
+            if vocabulary.held > VOCABULARY:
                 vocabulary = _Vocabulary()
             own = [words(t) for t in b.column(3).to_pylist()]
             lengths = np.fromiter(map(len, own), np.int64, len(own))
@@ -133,10 +140,10 @@ def term_index(messages: DataFrame, text: str = "text_for_fts") -> DataFrame:
             take = pa.array(message[at])
             postings = pa.StructArray.from_arrays([b.column(1).cast(pa.int32()).take(take), b.column(2).take(take), pa.array(lengths.astype(np.int32)).take(take), positions], ["line_no", "role", "length", "positions"])
             first = at[row]
-            rows = [b.column(0).take(pa.array(message[first])), pa.array(vocabulary.terms, pa.string()).take(pa.array(term[first])), pa.ListArray.from_arrays(offsets(row, len(posting)), postings)]
+            rows = [b.column(0).take(pa.array(message[first])), pa.array([vocabulary.terms[i] for i in term[first].tolist()], pa.string()), pa.ListArray.from_arrays(offsets(row, len(posting)), postings)]
             yield pa.RecordBatch.from_arrays(rows, ["session_key", "term", "postings"])
 
-    return messages.filter(F.col(text) != "").select("session_key", "line_no", "role", text).mapInArrow(run, TERM_INDEX)
+    return messages.filter(F.col(text) != "").select("session_key", "line_no", "role", text).mapInArrow(freeing(run), TERM_INDEX)
 
 
 def index_counts(index: DataFrame, query: str) -> DataFrame:
