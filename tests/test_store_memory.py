@@ -84,3 +84,10 @@ def test_topic_shards_hold_a_piece_of_the_sessions(spark, data):
         filled += size[s]
         if filled >= BUDGET:
             shard, filled = shard + 1, 0
+
+
+def test_boundaries_hold_a_piece_of_the_sessions(spark, data):
+    rows, mb = peak(spark, lambda: stored.store_boundaries(spark, data).collect())
+    assert mb < MOST
+    first = 1_767_225_600_000
+    assert sorted(tuple(r) for r in rows) == sorted((str(c), 2, f"{c}-0", None, "auto", 1000, 0, first) for c in range(SESSIONS))
